@@ -1,0 +1,51 @@
+import re
+
+from bagloom.llm import secrets
+
+
+def brute(t):
+    out = []
+    for rank, r in enumerate(secrets.RULES):
+        for m in re.finditer(r.pattern.replace("(?i:", "(?ai:"), t or ""):
+            if len(m.group(r.group)) >= r.least:
+                out.append((m.start(), rank, r.kind, m.end()))
+    return sorted(out)
+
+
+def test_matches_brute_force(docs, rows):
+    got = secrets.find(docs).collect()
+    want = sorted(((r[0], brute(r[1])) for r in rows), key=str)
+    assert sorted(((r.id, [tuple(h) for h in r.hits]) for r in got), key=str) == want
+    assert any(w for _, w in want)
+
+
+def test_ledger_scans_only_unseen_pairs(spark, docs, rows, tmp_path):
+    book = secrets.Ledger(spark, str(tmp_path / "book"), secrets.RULES[:2])
+    book.update(docs.where("doc_id < 30"))
+    n = book.known()[0].count()
+    book.update(docs.where("doc_id < 30"))
+    assert book.known()[0].count() == n
+    assert secrets.unseen(secrets.blobs(docs.where("doc_id < 30")), book.known()[0], secrets.RULES[:2]).count() == 0
+    full = secrets.Ledger(spark, str(tmp_path / "book"))
+    todo = secrets.unseen(secrets.blobs(docs.where("doc_id < 30")), full.known()[0]).first()
+    assert todo.kinds == [r.kind for r in secrets.RULES[2:]]
+    full.update(docs)
+    a = sorted(((r.id, r.hits) for r in full.find(docs).collect()), key=str)
+    assert a == sorted(((r.id, r.hits) for r in secrets.find(docs).collect()), key=str)
+
+
+def test_redact(docs, rows):
+    got = {(r.doc_id, r.text) for r in secrets.redact(docs).collect()}
+    want = set()
+    for d, t, *_ in rows:
+        out, at = "", 0
+        for s, _, _, e in brute(t):
+            if s >= at:
+                out, at = out + t[at:s] + "<secret>", e
+            at = max(at, e)
+        want.add((d, t if t is None else out + t[at:]))
+    assert got == want
+
+
+def test_empty(nothing):
+    assert secrets.find(nothing).collect() == []
