@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, pieces, quality, secrets, simhash
+from . import decontam, pieces, quality, scoring, secrets, simhash, substrings, suffixes
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return got.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = secrets.find(table(spark, sf_dir, "documents"))
     text = lambda hits: F.array_join(F.transform(hits, lambda h: F.concat_ws(":", h["kind"], h["start"], h["end"])), ",")
@@ -33,6 +38,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *(F.col(f"measures.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.likelihoods(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substrings.deduplicate(table(spark, sf_dir, "documents"))
+    return got.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.Pieces(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -41,7 +55,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(ids, 256).alias("ids_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_decontamination, op6_secrets, op7_quality, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_decontamination, op5_suffix_arrays, op6_secrets, op7_quality, op8_lm_scoring, op9_substrings, op10_sentencepiece)}
 
 
 def _secrets_sql() -> str:

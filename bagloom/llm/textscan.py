@@ -122,19 +122,24 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of each word's bytes, through `value`."""
-        out = np.empty(len(self), np.uint64)
-        i = 0
-        while i < len(self):
-            lo = int(self.start[i])
-            j = max(i + 1, int(np.searchsorted(self.end, lo + BLOCK, "right")))
-            hi = int(self.end[j - 1])
-            p, q = _pow(hi - lo)
-            total = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum(self.value[self.texts.buf[lo:hi]] * p[: hi - lo], out=total[1:])
-            s = self.start[i:j] - lo
-            out[i:j] = (total[self.end[i:j] - lo] - total[s]) * q[s]
-            i = j
-        return mix(out)
+        return span_hashes(self.texts.buf, self.start, self.end, self.value)
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.ndarray = BYTE_VALUE) -> np.ndarray:
+    """Hash of each buf[start:end]; starts and ends do not fall.  Equal bytes have equal hashes anywhere."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        lo = int(start[i])
+        j = max(i + 1, int(np.searchsorted(end, lo + BLOCK, "right")))
+        hi = int(end[j - 1])
+        p, q = _pow(hi - lo)
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(value[buf[lo:hi]] * p[: hi - lo], out=total[1:])
+        s = start[i:j] - lo
+        out[i:j] = (total[end[i:j] - lo] - total[s]) * q[s]
+        i = j
+    return mix(out)
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -159,3 +164,25 @@ def counts_by(off: np.ndarray, flags: np.ndarray) -> np.ndarray:
     """Number of set flags in each range [off[i], off[i + 1])."""
     c = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
     return c[off[1:]] - c[off[:-1]]
+
+
+def joined(words: Words, keep: np.ndarray) -> pa.Array:
+    """Each text's kept words joined by one space, as an Arrow string array."""
+    s, e = words.start[keep], words.end[keep]
+    size = e - s + 1
+    upto = np.cumsum(size)
+    total = int(upto[-1]) if len(upto) else 0
+    at = np.repeat(s - (upto - size), size) + np.arange(total)
+    out = words.texts.buf[np.minimum(at, len(words.texts.buf) - 1)] if total else np.zeros(0, np.uint8)
+    out[upto - 1] = 32
+    ends = np.concatenate(([0], upto))[np.concatenate(([0], np.cumsum(counts_by(words.off, keep))))]
+    some = np.diff(ends) > 0
+    solid = np.ones(total, bool)
+    solid[ends[1:][some] - 1] = False
+    off = ends - np.concatenate(([0], np.cumsum(some)))
+    return strings(out[solid], off)
+
+
+def strings(buf: np.ndarray, off: np.ndarray, kind=None) -> pa.Array:
+    """An Arrow string (or `kind`) array over a buffer."""
+    return pa.Array.from_buffers(kind or pa.string(), len(off) - 1, [None, pa.py_buffer(np.ascontiguousarray(off, np.int32)), pa.py_buffer(np.ascontiguousarray(buf))])
