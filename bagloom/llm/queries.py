@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, pieces, quality, scoring, secrets, simhash, substrings, suffixes
+from . import decontam, licenses, pieces, quality, scoring, secrets, simhash, substrings, suffixes, urls
 from .common import table
 
 
@@ -14,12 +14,22 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no path; that of a corpus on disk stands for it: source, language, number."""
+    docs = table(spark, sf_dir, "documents").withColumn("path__", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    return licenses.detect(docs, "doc_id", "path__").withColumnRenamed("id", "doc_id")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.array_join(F.array_sort("items"), ",")
     return got.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", F.round("trust", 12).alias("trust"), F.round("distrust", 12).alias("distrust"))
+
+
 def op5_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     return got.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -55,7 +65,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(ids, 256).alias("ids_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_decontamination, op5_suffix_arrays, op6_secrets, op7_quality, op8_lm_scoring, op9_substrings, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_licenses, op3_decontamination, op4_url_filter, op5_suffix_arrays, op6_secrets, op7_quality, op8_lm_scoring, op9_substrings, op10_sentencepiece)}
 
 
 def _secrets_sql() -> str:
