@@ -9,8 +9,9 @@ Strings meet in shards as follows.  Every window of WINDOW bytes has an anchor,
 GRAM-byte hash in it (the rightmost of ties), which depends on the window's bytes alone; so equal windows
 have equal anchors at equal offsets.  Windows of one text that share an anchor form a context, the run of
 bytes they cover.  Contexts are exchanged by anchor: an anchor that occurs once has no repeated window; equal
-contexts are one string with a count; contexts that share an anchor but differ go to one shard, whose suffix
-array and common prefixes tell which windows repeat.  Anchors with more than CROWD different contexts (the
+contexts are one string with a count; contexts that share an anchor but differ go to one shard, are trimmed to
+what any two of them have in common around the anchor, and equal ones are merged again; the suffix array and
+common prefixes of the shard tell which windows of the rest repeat.  Anchors with more than CROWD different contexts (the
 rims of a passage that very many documents share) would make a shard without bound; their windows are
 exchanged by hash, which is as exact.
 """
@@ -29,7 +30,7 @@ WINDOW, GRAM = 400, 32
 #: Different contexts of one anchor beyond which they are not sorted in one shard.
 CROWD = 4096
 #: Bytes of one suffix array, about; a shard with more anchors is solved in several.
-SHARD = 1 << 20
+SHARD = 1 << 21
 BUCKET_BYTES = 16 << 20
 #: Window starts hashed at a time.
 BLOCK = 1 << 19
@@ -66,7 +67,7 @@ def _names(t: np.ndarray, lms: np.ndarray) -> np.ndarray:
             i = lms[open_] + depth + k
             inside = depth + k < length[open_]
             key = key * (width + 1) + np.where(inside, t[np.minimum(i, len(t) - 1)], width)
-        order = np.lexsort((key, rank[open_]))
+        order = np.lexsort((key, rank[open_])) if depth else np.argsort(key, kind="stable")
         a, b = rank[open_][order], key[order]
         new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
         first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
@@ -80,9 +81,54 @@ def _names(t: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return np.unique(rank, return_inverse=True)[1]
 
 
+def _induce_by_bucket(t: np.ndarray, small: np.ndarray, lms_sorted: np.ndarray) -> np.ndarray:
+    """As _induce, a bucket at a time: what a bucket holds induces its predecessors together, in order.
+
+    What falls into the bucket at hand is the next wave; there are as many as its longest run of one symbol.
+    """
+    n, size = len(t), np.bincount(t)
+    end = np.cumsum(size)
+    begin = end - size
+    sa = np.full(n, -1, np.int64)
+    lms = np.bincount(t[lms_sorted], minlength=len(size))
+    sa[np.repeat(end - lms, lms) + np.arange(len(lms_sorted)) - np.repeat(np.cumsum(lms) - lms, lms)] = lms_sorted
+
+    def push(source: np.ndarray, smaller: bool, edge: np.ndarray, step: int) -> None:
+        j = source - 1
+        j = j[j >= 0]
+        j = j[small[j] == smaller]
+        if not len(j):
+            return
+        sym = t[j]
+        order = np.argsort(sym, kind="stable")
+        sym = sym[order]
+        count = np.bincount(sym, minlength=len(size))
+        nth = np.arange(len(j)) - (np.cumsum(count) - count)[sym]
+        sa[edge[sym] + nth if step > 0 else edge[sym] - 1 - nth] = j[order]
+        edge += step * count
+
+    head, tail = begin.copy(), end.copy()
+    for c in np.flatnonzero(size).tolist():
+        done = begin[c]
+        while done < head[c]:
+            wave, done = sa[done : head[c]].copy(), head[c]
+            push(wave, False, head, 1)
+        push(sa[end[c] - lms[c] : end[c]], False, head, 1)
+    for c in np.flatnonzero(size)[::-1].tolist():
+        done = end[c]
+        while done > tail[c]:
+            wave, done = sa[tail[c] : done][::-1].copy(), tail[c]
+            push(wave, True, tail, -1)
+        push(sa[begin[c] : head[c]][::-1], True, tail, -1)
+    sa[0] = n - 1
+    return sa
+
+
 def _induce(t: np.ndarray, small: np.ndarray, lms_sorted: np.ndarray) -> np.ndarray:
     """All suffixes in order, from the leftmost S suffixes in order."""
     n = len(t)
+    if n > 1000 * int(t.max()):
+        return _induce_by_bucket(t, small, lms_sorted)
     ends = np.cumsum(np.bincount(t))
     sa = [-1] * n
     place = ends[t[lms_sorted]] - 1
@@ -127,26 +173,38 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
-    """Permuted common prefixes: for each text position, the length shared with the suffix before it in sa."""
+    """Permuted common prefixes: for each text position, the length shared with the suffix before it in sa.
+
+    A position whose left neighbour equals that of the suffix before it has one less than the position to
+    its left; so only the others are compared, four symbols at a time.
+    """
     n = len(t)
     before = np.full(n, -1)
     before[sa[1:]] = sa[:-1]
-    raw, out, size = np.asarray(t, "<u2").tobytes(), [0] * n, 0
-    for i, j in enumerate(before.tolist()):
-        if j < 0:
-            size = 0
-            continue
-        a, b = 2 * (i + size), 2 * (j + size)
-        while 2 * n - max(a, b) >= 128 and raw[a : a + 128] == raw[b : b + 128]:
-            a += 128
-            b += 128
-        while max(a, b) < 2 * n and raw[a : a + 2] == raw[b : b + 2]:
-            a += 2
-            b += 2
-        out[i] = size = a // 2 - i
-        if size:
-            size -= 1
-    return np.array(out)
+    x = np.concatenate([np.asarray(t, np.uint64), np.zeros(4, np.uint64)])
+    four = x[:n] | x[1 : n + 1] << np.uint64(16) | x[2 : n + 2] << np.uint64(32) | x[3 : n + 3] << np.uint64(48)
+    place = np.arange(n)
+    alone = (before < 0) | (place == 0) | (before == 0)
+    alone |= np.append(True, t[place[1:] - 1] != t[before[1:] - 1])
+    base = np.flatnonzero(alone)
+    size = np.zeros(len(base), np.int64)
+    live = np.flatnonzero(before[base] >= 0)
+    while len(live):
+        i, j = base[live] + size[live], before[base[live]] + size[live]
+        on = np.maximum(i, j) < n
+        live, i, j = live[on], i[on], j[on]
+        same = four[i] == four[j]
+        size[live[same]] += 4
+        rest, i, j = live[~same], i[~same], j[~same]
+        for _ in range(3):  # the sentinel differs from all, so no comparison runs past it
+            go = x[i] == x[j]
+            size[rest[go]] += 1
+            rest, i, j = rest[go], i[go] + 1, j[go] + 1
+        live = live[same]
+    last = np.maximum.accumulate(np.where(alone, place, 0))
+    value = np.zeros(n, np.int64)
+    value[base] = size
+    return np.where(before < 0, 0, value[last] - (place - last))
 
 
 def repeated_windows(contexts: list[bytes], many: list[bool], window: int = WINDOW) -> list[np.ndarray]:
@@ -172,6 +230,34 @@ def repeated_windows(contexts: list[bytes], many: list[bool], window: int = WIND
     return [hit[b : b + n - window + 1] for b, n in zip(begin, size)]
 
 
+def _shared(parts: list[bytes]) -> list[int]:
+    """For each string, the longest prefix that it shares with any other of the list."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    out = [0] * len(parts)
+    for x, y in zip(order, order[1:]):
+        a, b = parts[x], parts[y]
+        lo, hi = 0, min(len(a), len(b))
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            if a[lo:mid] == b[lo:mid]:
+                lo = mid
+            else:
+                hi = mid - 1
+        out[x], out[y] = max(out[x], lo), max(out[y], lo)
+    return out
+
+
+def trimmed(contexts: list[bytes], anchors: list[int], many: list[bool]) -> list[tuple[int, int]]:
+    """(begin, end) of each context of one anchor: as far as it agrees with any other around the anchor.
+
+    A window that two contexts share lies within the trimmed part of both.  One that occurs more than once
+    stays whole.
+    """
+    left = _shared([c[:a][::-1] for c, a in zip(contexts, anchors)])
+    right = _shared([c[a:] for c, a in zip(contexts, anchors)])
+    return [(0, len(c)) if m else (a - x, a + y) for c, a, m, x, y in zip(contexts, anchors, many, left, right)]
+
+
 # ---------------------------------------------------------------- contexts
 
 
@@ -195,7 +281,7 @@ class _Contexts:
         fits = np.ones(n, bool)
         for b, e in zip(p.texts.off.tolist(), p.texts.off[1:].tolist()):
             fits[max(b, e - WINDOW + 1) : e] = False
-        firsts, lasts, anchors = [], [], []
+        firsts, lasts, anchors, offsets = [], [], [], []
         with np.errstate(over="ignore"):
             for b in range(0, n, BLOCK):
                 starts = np.flatnonzero(fits[b : b + BLOCK])
@@ -214,9 +300,10 @@ class _Contexts:
                 new = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)))
                 firsts.append(b + starts[new])
                 lasts.append(b + starts[np.append(new[1:], len(starts)) - 1])
-                anchors.append(g[at[new]])
+                anchors.append(mix(g[at[new]]))  # least hashes crowd near zero; mixed again they spread over buckets
+                offsets.append(at[new] - starts[new])
         cat = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-        self.first, self.last, self.anchor = cat(firsts, np.int64), cat(lasts, np.int64), cat(anchors, np.uint64)
+        self.first, self.last, self.anchor, self.offset = cat(firsts, np.int64), cat(lasts, np.int64), cat(anchors, np.uint64), cat(offsets, np.int64)
         self.content = span_hashes(self.buf, self.first, self.last + WINDOW)
         order = np.lexsort((self.content, self.anchor))
         a, c = self.anchor[order], self.content[order]
@@ -271,23 +358,55 @@ def _shard(bucket, numbers, got):
         for n, part in zip(numbers, parts):
             yield n, dump(bits(seen[inv[part]] > 1))
         return
-    texts: dict[tuple[int, int], bytes] = {}
+    texts: dict[int, dict[int, tuple[bytes, int]]] = {}
     times: dict[tuple[int, int], int] = {}
-    for keys, contents, many, raw in got:
-        for k, c, m, t in zip(keys.tolist(), contents.tolist(), unbits(many).tolist(), raw):
-            texts[k, c] = t
+    for keys, contents, many, at, raw in got:
+        for k, c, m, a, t in zip(keys.tolist(), contents.tolist(), unbits(many).tolist(), at.tolist(), raw):
+            texts.setdefault(k, {})[c] = (t, a)
             times[k, c] = times.get((k, c), 0) + 1 + m
     found: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
-    batch: list[tuple[int, int]] = []
-    order = sorted(texts)
-    for i, x in enumerate(order):
-        batch.append(x)
-        # contexts of one anchor stay together
-        if i + 1 == len(order) or order[i + 1][0] != x[0] and sum(len(texts[y]) for y in batch) > SHARD:
-            for y, hit in zip(batch, repeated_windows([texts[y] for y in batch], [times[y] > 1 for y in batch])):
-                found[y] = bits(hit)
-            batch = []
-    for n, (keys, contents, _, _) in zip(numbers, got):
+    strings_: dict[tuple[int, bytes], list] = {}  # a trimmed string of an anchor: (context, begin, windows of the context)
+    count: dict[tuple[int, bytes], int] = {}
+
+    def solve() -> None:
+        if not strings_:
+            return
+        names = list(strings_)
+        for name, hit in zip(names, repeated_windows([t for _, t in names], [count[x] > 1 for x in names])):
+            for context, begin, n in strings_[name]:
+                own = np.zeros(n, bool)
+                own[begin : begin + len(hit)] = hit
+                found[context] = bits(own)
+        strings_.clear()
+        count.clear()
+
+    size = 0
+    for k in sorted(texts):
+        own = texts.pop(k)
+        often = [times[k, c] > 1 for c in own]
+        cuts = trimmed([t for t, _ in own.values()], [a for _, a in own.values()], often)
+        kinds: dict[bytes, int] = {}
+        for (t, _), (b, e), m in zip(own.values(), cuts, often):
+            if e - b >= WINDOW:
+                kinds[t[b:e]] = kinds.get(t[b:e], 0) + 1 + m
+        for (c, (t, _)), (b, e), m in zip(own.items(), cuts, often):
+            n = len(t) - WINDOW + 1
+            if e - b < WINDOW:
+                found[k, c] = bits(np.zeros(n, bool))
+            elif len(kinds) == 1:  # one string is left: no order is needed to tell whether it repeats
+                hit = np.zeros(n, bool)
+                hit[b : e - WINDOW + 1] = kinds[t[b:e]] > 1
+                found[k, c] = bits(hit)
+            else:
+                strings_.setdefault((k, t[b:e]), []).append(((k, c), b, n))
+                count[k, t[b:e]] = count.get((k, t[b:e]), 0) + 1 + m
+        if len(kinds) > 1:
+            size += sum(map(len, kinds))
+        if size > SHARD:
+            solve()
+            size = 0
+    solve()
+    for n, (keys, contents, *_) in zip(numbers, got):
         yield n, dump([found[x] for x in zip(keys.tolist(), contents.tolist())])
 
 
@@ -315,7 +434,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = []
         for b, lo, hi in dealt(c.keys[mixed], many):
             part = mixed[lo:hi]
-            out.append((b, dump(c.keys[part], c.contents[part], bits(c.many[part]), [c.bytes_of(k) for k in part])))
+            out.append((b, dump(c.keys[part], c.contents[part], bits(c.many[part]), c.offset[c.one[part]], [c.bytes_of(k) for k in part])))
         u, again, _ = c.window_hashes(codes)
         return out + [(b - many, dump(u[lo:hi], bits(again[lo:hi]))) for b, lo, hi in dealt(u, many)]
 

@@ -31,6 +31,21 @@ def test_long_repeats():
     assert sa == sorted(range(len(raw)), key=lambda i: raw[i:])
 
 
+def test_induction_by_bucket_is_the_same():
+    r = np.random.default_rng(4)
+    t = np.concatenate([np.tile(r.integers(1, 4, 50), 90), r.integers(1, 4, 3000), np.full(300, 2), [0]])
+    assert len(t) > 1000 * t.max()
+    sa = suffixes.suffix_array(t)
+    raw = bytes(t.tolist())
+    assert sa.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+    lcp = suffixes.common_prefixes(t, sa)
+    for a, b in zip(sa[:-1].tolist(), sa[1:].tolist()):
+        n = 0
+        while raw[a + n : a + n + 1] == raw[b + n : b + n + 1] and max(a, b) + n < len(raw):
+            n += 1
+        assert lcp[b] == n
+
+
 def brute(rows):
     seen = Counter()
     for _, t, *_ in rows:
