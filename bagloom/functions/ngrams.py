@@ -23,17 +23,17 @@ def codes(tokens: Column, n: int = 3, b: int = 256, m: int | None = None) -> Col
         raise ValueError("without a modulus, b ** n must fit in 63 bits")
     pad = lambda code: F.array(*[F.lit(code).cast("bigint")] * (n - 1)) if n > 1 else F.array().cast("array<bigint>")
     padded = F.concat(pad(options.get("string_start_code")), tokens, pad(options.get("string_end_code")))
-    last = F.size(tokens) + F.lit(n - 1)
 
-    def code(i: Column) -> Column:
+    def code(p: Column, i: Column) -> Column:
         out = F.lit(0).cast("bigint")
         for k in range(n):
-            out = out * b + F.get(padded, i + k)
+            out = out * b + F.get(p, i + k)
             out = F.pmod(out, F.lit(m).cast("bigint")) if m else out
         return out
 
-    some = F.transform(F.sequence(F.lit(0), last - 1), code)
-    return F.when(tokens.isNull() | (last <= 0), F.array().cast("array<bigint>")).otherwise(some)
+    # the padded array is bound as a lambda's variable, so it is made once and not again for each position
+    some = F.get(F.transform(F.array(padded), lambda p: F.transform(F.sequence(F.lit(0), F.size(p) - n), lambda i: code(p, i))), F.lit(0))
+    return F.when(tokens.isNull() | (F.size(tokens) + n - 1 <= 0), F.array().cast("array<bigint>")).otherwise(some)
 
 
 def string_codes(text: Column, n: int = 3, b: int = 256, m: int | None = 2053) -> Column:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def dense_position(df: DataFrame, order: Sequence[str | Column], name: str = "position", amount: Column | None = None) -> DataFrame:
     """df with a running number (or running sum of `amount`, itself included) over a total order.
@@ -19,7 +21,8 @@ def dense_position(df: DataFrame, order: Sequence[str | Column], name: str = "po
     before it, which is a table of one row a partition.
     """
     amount = F.lit(1).cast("bigint") if amount is None else amount
-    parts = df.withColumn("__amount", amount).repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    # written once: range bounds are sampled and partitions merged at run time, so both uses must see the same
+    parts = cut(df.withColumn("__amount", amount).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = parts.withColumn("__run", F.sum("__amount").over(w))
     sums = parts.groupBy("__part").agg(F.sum("__amount").alias("__sum"))
@@ -39,9 +42,9 @@ def aligned_from_ids(rows: DataFrame, pos: str, k: str) -> DataFrame:
     Ids must not fall with the position: each id's positions then form one range, which is checked.
     """
     found = rows.groupBy(F.col(k).cast("bigint").alias("bag")).agg(F.min(pos).cast("bigint").alias("start"), F.max(pos).cast("bigint").alias("__end"), F.count(F.lit(1)).alias("len"))
-    ok = F.when(F.col("__end") - F.col("start") + 1 == F.col("len"), F.col("len")).otherwise(F.raise_error(F.lit("ids are not contiguous")).cast("bigint"))
+    ok = F.when(F.col("start").isNull(), F.lit(0)).when(F.col("__end") - F.col("start") + 1 == F.col("len"), F.col("len")).otherwise(F.raise_error(F.lit("ids are not contiguous")).cast("bigint"))
     every = rows.agg(F.max(k).alias("n")).select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n").cast("bigint"))).alias("bag"))
-    return every.join(found, "bag", "left").select("bag", F.coalesce("start", F.lit(0)).cast("bigint").alias("start"), F.coalesce(ok, F.lit(0)).cast("bigint").alias("len"))
+    return every.join(found, "bag", "left").select("bag", F.coalesce("start", F.lit(0)).cast("bigint").alias("start"), ok.cast("bigint").alias("len"))
 
 
 def scattered_from_ids(rows: DataFrame, pos: str, k: str) -> DataFrame:

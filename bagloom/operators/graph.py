@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def message_pass(vertices: DataFrame, edges: DataFrame, x: str = "x", steps: int = 1, keep: float = 0.5) -> DataFrame:
     """(id, x) after steps of x <- keep * x + (1 - keep) * mean over neighbours; psi = 0 without neighbours.
@@ -17,5 +19,5 @@ def message_pass(vertices: DataFrame, edges: DataFrame, x: str = "x", steps: int
         got = sent.groupBy(F.col("dst").alias("id")).agg(F.avg("__m").alias("__m"))
         vertices = vertices.select("id", x).join(got, "id", "left").select("id", (keep * F.col(x) + (1 - keep) * F.coalesce("__m", F.lit(0.0))).alias(x))
         if i + 1 < steps:
-            vertices = vertices.checkpoint()
+            vertices = cut(vertices)
     return vertices

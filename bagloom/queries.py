@@ -287,15 +287,15 @@ def _delta(s, d):
 
 
 def _per_order(df):
-    return _round(df.groupBy("l_orderkey").agg(F.sum(F.col("dx") * F.col("l_quantity")).alias("g")))
+    return _round(df.groupBy("l_orderkey").agg(F.sum(F.col("dx") * F.col("l_quantity")).alias("g")), 6)
 
 
 _D = "(select l_orderkey, l_quantity as x, o_totalprice / 1000 as delta, {extra} from lineitem join orders on l_orderkey = o_orderkey)"
-query("G1_grad_sum", f"select l_orderkey, round(sum(x * delta), 4) as g from {_D.format(extra='1')} group by 1")(lambda s, d: _per_order(gradients.sum_back(table(s, d, "lineitem"), _delta(s, d), "l_orderkey", "delta")))
-query("G2_grad_mean", f"select l_orderkey, round(sum(x * delta / n), 4) as g from {_D.format(extra='count(*) over (partition by l_orderkey) as n')} group by 1")(lambda s, d: _per_order(gradients.mean_back(table(s, d, "lineitem"), _delta(s, d), "l_orderkey", "delta")))
-query("G3_grad_max", f"select l_orderkey, round(max(x) * any_value(delta), 4) as g from {_D.format(extra='1')} group by 1")(lambda s, d: _per_order(gradients.max_back(table(s, d, "lineitem"), _delta(s, d), "l_orderkey", "delta", "l_quantity", ["l_linenumber", "l_partkey"])))
-query("G4_grad_lse", f"select l_orderkey, round(sum(x * delta * exp(0.5::double * x - m) / z), 4) as g from (select *, sum(exp(0.5::double * x - m)) over (partition by l_orderkey) as z from {_D.format(extra='max(0.5::double * l_quantity) over (partition by l_orderkey) as m')}) group by 1")(lambda s, d: _per_order(gradients.lse_back(table(s, d, "lineitem"), _delta(s, d), "l_orderkey", "delta", "l_quantity", 0.5)))
-query("G5_grad_pnorm", f"select l_orderkey, round(sum(x * delta * x / sqrt(q) / n), 4) as g from {_D.format(extra='avg(l_quantity * l_quantity) over (partition by l_orderkey) as q, count(*) over (partition by l_orderkey) as n')} group by 1")(lambda s, d: _per_order(gradients.pnorm_back(table(s, d, "lineitem"), _delta(s, d), "l_orderkey", "delta", "l_quantity", 2.0)))
+query("G1_grad_sum", f"select l_orderkey, round(sum(x * delta), 6) as g from {_D.format(extra='1')} group by 1")(lambda s, d: _per_order(gradients.sum_back(table(s, d, "lineitem"), _delta(s, d), "l_orderkey", "delta")))
+query("G2_grad_mean", f"select l_orderkey, round(sum(x * delta / n), 6) as g from {_D.format(extra='count(*) over (partition by l_orderkey) as n')} group by 1")(lambda s, d: _per_order(gradients.mean_back(table(s, d, "lineitem"), _delta(s, d), "l_orderkey", "delta")))
+query("G3_grad_max", f"select l_orderkey, round(max(x) * any_value(delta), 6) as g from {_D.format(extra='1')} group by 1")(lambda s, d: _per_order(gradients.max_back(table(s, d, "lineitem"), _delta(s, d), "l_orderkey", "delta", "l_quantity", ["l_linenumber", "l_partkey"])))
+query("G4_grad_lse", f"select l_orderkey, round(sum(x * delta * exp(0.5::double * x - m) / z), 6) as g from (select *, sum(exp(0.5::double * x - m)) over (partition by l_orderkey) as z from {_D.format(extra='max(0.5::double * l_quantity) over (partition by l_orderkey) as m')}) group by 1")(lambda s, d: _per_order(gradients.lse_back(table(s, d, "lineitem"), _delta(s, d), "l_orderkey", "delta", "l_quantity", 0.5)))
+query("G5_grad_pnorm", f"select l_orderkey, round(sum(x * delta * x / sqrt(q) / n), 6) as g from {_D.format(extra='avg(l_quantity * l_quantity) over (partition by l_orderkey) as q, count(*) over (partition by l_orderkey) as n')} group by 1")(lambda s, d: _per_order(gradients.pnorm_back(table(s, d, "lineitem"), _delta(s, d), "l_orderkey", "delta", "l_quantity", 2.0)))
 query("G1_grad_psi", "select round(sum(o_totalprice), 4) as dpsi from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)")(lambda s, d: _round(gradients.empty_back(table(s, d, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), table(s, d, "lineitem"), "l_orderkey", "o_totalprice")))
 query("G6_grad_ngram", f"with src as (select p_partkey as id, p_name as t from part) select code, round(sum(p_size), 4)::double as g from (select id, unnest(codes) as code from {_code_sql('t', 2053)}) join part on id = p_partkey group by 1")(
     lambda s, d: gradients.ngram_back(ngrams.histogram(table(s, d, "part"), "p_partkey", ngrams.string_codes(F.col("p_name"))), table(s, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("g")), "p_partkey", ["g"])
