@@ -41,14 +41,14 @@ def _orders(spark, d):
 def _bags(spark, d, how, cols=("l_quantity", "l_extendedprice"), weight=None, where=None):
     orders, items = _orders(spark, d)
     items = items.where(where) if where else items
-    return _round(A.aggregate(orders, items, "o_orderkey", cols, how, weight, "l_orderkey"))
+    return _round(A.aggregate(orders, items, "o_orderkey", cols, how, weight, "l_orderkey"), 7)
 
 
 def _sql(*exprs: str, where: str = "true", weight: str = "") -> str:
     """Bags of lineitems with defaults: exprs are 'aggregate -> name -> default'."""
     parts = [e.split(" -> ") for e in exprs]
     inner = ", ".join(f"{e} as {n}" for e, n, _ in parts)
-    outer = ", ".join(f"round(case when n is null then {p} else {n} end, 4) as {n}" for _, n, p in parts)
+    outer = ", ".join(f"round(case when n is null then {p} else {n} end, 7) as {n}" for _, n, p in parts)
     return f"select o_orderkey, {outer} from orders left join (select l_orderkey, count(*) as n, {inner} from (select *, 1 - l_discount as w from lineitem where {where}) group by l_orderkey) on o_orderkey = l_orderkey"
 
 
@@ -69,12 +69,12 @@ _NULL = "case when count(nullif(l_quantity, 50)) = count(*) then {}(nullif(l_qua
 def null_poison(s, d):
     orders, items = _orders(s, d)
     items = items.withColumn("q", F.expr("nullif(l_quantity, 50)"))
-    return _round(A.aggregate(orders, items, "o_orderkey", ["q"], A.stack(A.Sum(), A.Max()), None, "l_orderkey"))
+    return _round(A.aggregate(orders, items, "o_orderkey", ["q"], A.stack(A.Sum(), A.Max()), None, "l_orderkey"), 7)
 
 
 _TWO = """with i as (select l_orderkey, l_quantity as x, 1 - l_discount as w from lineitem), t as (select l_orderkey, count(*) as n, max({first}) as m from i group by 1),
  a as (select l_orderkey, any_value(n) as n, {value} as v from i join t using (l_orderkey) group by 1)
- select o_orderkey, round(case when n is null then cast(0 as double) else v end, 4) as {name}_l_quantity from orders left join a on o_orderkey = l_orderkey"""
+ select o_orderkey, round(case when n is null then cast(0 as double) else v end, 7) as {name}_l_quantity from orders left join a on o_orderkey = l_orderkey"""
 _R = activations.lse_scale(0.0)
 _P = activations.pnorm_power(0.5)
 query("A4_lse", _TWO.format(first=f"{_R}::double * x", value=f"(ln(sum(exp({_R}::double * x - m))) - ln(count(*)) + any_value(m)) / {_R}::double", name="lse"))(lambda s, d: _bags(s, d, A.LSE(), ["l_quantity"]))
@@ -283,14 +283,14 @@ def message_pass(s, d):
 
 
 def _delta(s, d):
-    return table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_totalprice") / 1000).alias("delta"))
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_totalprice") / 977).alias("delta"))
 
 
 def _per_order(df):
     return _round(df.groupBy("l_orderkey").agg(F.sum(F.col("dx") * F.col("l_quantity")).alias("g")), 6)
 
 
-_D = "(select l_orderkey, l_quantity as x, o_totalprice / 1000 as delta, {extra} from lineitem join orders on l_orderkey = o_orderkey)"
+_D = "(select l_orderkey, l_quantity as x, o_totalprice / 977 as delta, {extra} from lineitem join orders on l_orderkey = o_orderkey)"
 query("G1_grad_sum", f"select l_orderkey, round(sum(x * delta), 6) as g from {_D.format(extra='1')} group by 1")(lambda s, d: _per_order(gradients.sum_back(table(s, d, "lineitem"), _delta(s, d), "l_orderkey", "delta")))
 query("G2_grad_mean", f"select l_orderkey, round(sum(x * delta / n), 6) as g from {_D.format(extra='count(*) over (partition by l_orderkey) as n')} group by 1")(lambda s, d: _per_order(gradients.mean_back(table(s, d, "lineitem"), _delta(s, d), "l_orderkey", "delta")))
 query("G3_grad_max", f"select l_orderkey, round(max(x) * any_value(delta), 6) as g from {_D.format(extra='1')} group by 1")(lambda s, d: _per_order(gradients.max_back(table(s, d, "lineitem"), _delta(s, d), "l_orderkey", "delta", "l_quantity", ["l_linenumber", "l_partkey"])))
