@@ -2,8 +2,8 @@
 
 The best segmentation is the one whose pieces have the largest total score (Viterbi over the model's
 vocabulary).  A document of up to CHUNK characters is solved at once; its words are independent, as no
-piece continues behind a word's start, so each distinct word is solved once and kept.  A larger document is
-cut into chunks at any place.  A chunk's transfer matrix T has T[i][j], the best score from i characters
+piece continues behind a word's start, so each distinct short word is solved once and kept.  A larger document
+is cut into chunks at any place.  A chunk's transfer matrix T has T[i][j], the best score from i characters
 before its start to j characters before its end; matrices combine associatively under (max, +), which
 yields the boundary states of the best path, and every chunk is then traced back on its own between them.
 """
@@ -11,10 +11,13 @@ yields the boundary states of the best path, and every chunk is then traced back
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +28,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 50_000
 #: How the model file writes a space; inside, pieces have the space itself, so a literal mark is just an unknown character.
 SPACE = "▁"
-#: Distinct words whose segmentation is kept by a worker.
-KEPT = 400_000
+#: Distinct words whose segmentation is kept by a worker in each of two generations, and the most characters of such a word.
+KEPT = 250_000
+KEPT_CHARS = 48
 #: Added to the least score for a character that the vocabulary lacks.
 UNKNOWN = -10.0
 LOW = -1e300
@@ -56,12 +60,30 @@ class Model:
         self.unknown = min(s for _, s in self.ids.values()) + UNKNOWN
         self.longest = max(map(len, self.ids))
         self.heads = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        self.alien = (1, self.unknown, -1)
+        self.found = ahocorasick.Automaton()
+        for p in self.heads:
+            if p in self.ids or len(p) == 1:
+                self.found.add_word(p, (len(p), self.ids[p][1], self.ids[p][0]) if p in self.ids else self.alien)
+        for c in {c for p in self.ids for c in p} - self.heads:
+            self.found.add_word(c, self.alien)
+        self.found.make_automaton()
         inside = {c for p in self.ids if len(p) > 1 for c in p}
         self.alone = "" if "\n" in inside else "\n"
         if any(" " in p.lstrip(" ") for p in self.ids):
             raise ValueError("pieces that continue over a space are not supported")
-        self.units = re.compile(f" *[^ {self.alone}]+| +|{self.alone or ' '}")
-        self.cache: dict[str, bytes] = _Kept(self)
+        # pairs of a letter or digit and what may follow it in a piece; none has the reverse, or words are not cut there
+        pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1) if " " not in p[i : i + 2]}
+        self.joined = {x for x in pairs if x[0].isalnum() and not x[1].isalnum()}
+        self.cuts = not any(x[1].isalnum() and not x[0].isalnum() for x in pairs)
+        if self.cuts:
+            other = f"(?:_|[^\\w {self.alone}])"
+            joins = "|".join(f"(?<={re.escape(x[0])}){re.escape(x[1])}" for x in sorted(self.joined)) or "(?!)"
+            self.units = re.compile(f" *(?:[^\\W_]+(?:(?:{joins}){other}*)?|{other}+)| +|{self.alone or ' '}")
+        else:
+            self.units = re.compile(f" *[^ {self.alone}]+| +|{self.alone or ' '}")
+        self.cache: dict[str, bytes] = _Kept(self._ids_of)
+        self.worths: dict[str, float] = _Kept(self._worth_of)
 
     def prepare(self, text: str) -> str:
         """The text as it is segmented."""
@@ -81,24 +103,34 @@ class Model:
             found.insert(0, (1, self.unknown))
         return found
 
-    def trace(self, s: str, begin: int = 0, end: int | None = None) -> list[int]:
-        """Piece lengths of the best path from begin to end; of equal ones, that with the longer last pieces."""
-        end = len(s) if end is None else end
-        best, back = [LOW] * (end - begin + 1), [0] * (end - begin + 1)
+    def path(self, s: str) -> list[tuple[int, float, int]]:
+        """(length, score, id or -1) of the pieces of the best path; of equal ones, that with the longer last pieces."""
+        n, done, alien = len(s), 0, self.unknown
+        best, back = [LOW] * (n + 1), [None] * (n + 1)
         best[0] = 0.0
-        for i in range(end - begin):
-            b = best[i]
-            if b == LOW:
-                continue
-            for n, score in self.arcs(s, begin + i):
-                j = i + n
-                if begin + j <= end and b + score > best[j]:  # an earlier start is a longer piece and stays
-                    best[j], back[j] = b + score, n
-        out, j = [], end - begin
+        for end, arc in self.found.iter(s):  # by end, the longest first, which stays
+            end += 1
+            while done < end - 1:  # characters that no piece has
+                done += 1
+                if back[done] is None:
+                    best[done], back[done] = best[done - 1] + alien, self.alien
+            score = best[end - arc[0]] + arc[1]
+            if score > best[end]:
+                best[end], back[end] = score, arc
+        for j in range(done + 1, n + 1):
+            if back[j] is None:
+                best[j], back[j] = best[j - 1] + alien, self.alien
+        out, j = [], n
         while j:
-            out.append(back[j])
-            j -= back[j]
-        return out[::-1]
+            arc = back[j]
+            out.append(arc)
+            j -= arc[0]
+        out.reverse()
+        return out
+
+    def trace(self, s: str, begin: int = 0, end: int | None = None) -> list[int]:
+        """Piece lengths of the best path from begin to end."""
+        return [n for n, _, _ in self.path(s[begin:end])]
 
     def to_ids(self, s: str, begin: int, lengths: list[int]) -> list[int]:
         out = []
@@ -114,12 +146,35 @@ class Model:
 
     def encode(self, text: str) -> bytes:
         """The ids as int32 in native order."""
-        return b"".join(map(self.cache.__getitem__, self.units.findall(self.prepare(text))))
+        return self.between(self.prepare(text))
+
+    def between(self, s: str) -> bytes:
+        """The ids of a prepared text, or of the part of one between two piece ends."""
+        return b"".join(map(self.cache.__getitem__, self.units.findall(s)))
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
+    def texts(self, ids: pa.Array) -> pa.Array:
+        """decode() for a column: the pieces of all rows are gathered at once, and rows are cut from their bytes."""
+        flat, rows = ids.flatten(), len(ids)
+        count = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
+        got = pa.array(self.out, pa.large_binary()).take(flat)
+        places = np.frombuffer(got.buffers()[1], np.int64, len(got) + 1, got.offset * 8) if len(got) else np.zeros(1, np.int64)
+        data, at = np.frombuffer(got.buffers()[2] or b"", np.uint8), places[ends]
+        if self.prefix:  # one space
+            starts = at[:-1][at[1:] > at[:-1]]
+            starts = starts[data[starts] == ord(self.prefix)]
+            data, at = np.delete(data, starts), at - np.searchsorted(starts, at)
+        raw = pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
+        raw = pc.if_else(pc.is_valid(ids), raw, pa.scalar(None, pa.large_binary()))
+        try:
+            return raw.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:  # ids that do not come from a text
+            return pa.array((None if x is None else x.decode("utf-8", "replace") for x in raw.to_pylist()), pa.string())
+
     def score(self, ids: np.ndarray) -> float:
         return float(self._scores()[ids].sum())
 
@@ -130,12 +185,53 @@ class Model:
             out[i] = s
         return out
 
+    def _ids_of(self, unit: str) -> bytes:
+        path = self.path(unit)
+        ids = [i for _, _, i in path]
+        if -1 in ids:
+            ids = self.to_ids(unit, 0, [n for n, _, _ in path])
+        return array("i", ids).tobytes()
+
+    def _worth_of(self, unit: str) -> float:
+        """The score of a unit's best segmentation."""
+        return sum(score for _, score, _ in self.path(unit))
+
+    def parting(self, s: str, begin: int) -> tuple[int, int]:
+        """The first and last place in s, from begin on, that no piece crosses; (-1, -1) if there is none."""
+        at = [m.start() for m in self.units.finditer(s, begin) if m.start() > begin or self._parts(s, begin)]
+        if self._parts(s, len(s)):
+            at.append(len(s))
+        return (at[0], at[-1]) if at else (-1, -1)
+
+    def _parts(self, s: str, i: int) -> bool:
+        if not 0 < i <= len(s):
+            return False
+        if self.alone and (s[i - 1] == self.alone or s[i : i + 1] == self.alone):
+            return True
+        pair = s[i - 1 : i + 1]
+        if pair[0] == " " or pair[1:] == " ":
+            return pair[0] != " "
+        return self.cuts and len(pair) == 2 and pair[0].isalnum() != pair[1].isalnum() and pair not in self.joined
+
     def matrix(self, s: str, left: int, ends: bool) -> np.ndarray:
         """Transfer matrix of the chunk s[left:], with `left` characters of the one before.
 
         T[i][j]: the best score of pieces from left - i to len(s) - j.  State 0 is a piece end at the
         boundary itself.  A last chunk (ends) has only j = 0.
+
+        Where no piece can cross a place inside the chunk, every path has a piece end there, so only the
+        parts before the first such place and behind the last one need states.
         """
+        first, last = self.parting(s, left)
+        if first < 0 or (first == left and last == left):
+            return self._matrix(s, left, ends)
+        head = self._matrix(s[:first], left, True)[:, 0] if first > left else np.where(np.arange(self.longest) == 0, 0.0, LOW)
+        middle = sum(map(self.worths.__getitem__, self.units.findall(s[first:last])))
+        tail = self._matrix(s[last:], 0, ends)[0] if last < len(s) else np.where(np.arange(self.longest) == 0, 0.0, LOW)
+        return np.maximum(head[:, None] + middle + tail[None, :], LOW)
+
+    def _matrix(self, s: str, left: int, ends: bool) -> np.ndarray:
+        """The same, with states throughout."""
         size = self.longest
         n = len(s)
         best = np.full((n + 1, size), LOW)
@@ -157,16 +253,24 @@ class Model:
 
 
 class _Kept(dict):
-    """Unit of text to the ids of its best segmentation, emptied when full."""
+    """Unit of text to what is known of its best segmentation; long units are not kept.
 
-    def __init__(self, model: Model):
-        self.model = model
+    Full, it becomes the old generation, from which units in use come back before the next one replaces it.
+    """
 
-    def __missing__(self, unit: str) -> bytes:
+    def __init__(self, solve):
+        self.solve, self.old = solve, {}
+
+    def __missing__(self, unit: str):
+        got = self.old.get(unit)
+        if got is None:
+            got = self.solve(unit)
+            if len(unit) > KEPT_CHARS:
+                return got
         if len(self) >= KEPT:
+            self.old = dict(self)
             self.clear()
-        m = self.model
-        got = self[unit] = np.array(m.to_ids(unit, 0, m.trace(unit)), np.int32).tobytes()
+        self[unit] = got
         return got
 
 
@@ -260,7 +364,7 @@ class Pieces:
             m, out = _model(sent.value), []
             for s, n, i, j in zip(*(c.to_pylist() for c in (body, left, enter, leave))):
                 begin, end = n - i, len(s) - j
-                out.append(np.array(m.to_ids(s, begin, m.trace(s, begin, end)) if end > begin else [], np.int32).tobytes())
+                out.append(m.between(s[begin:end]))
             return _ints(out)
 
         keyed = texts.select(F.sha2("text", 256).alias("key"), "text").dropDuplicates(["key"])
@@ -276,10 +380,6 @@ class Pieces:
 
         @F.arrow_udf("string")
         def back(ids: pa.Array) -> pa.Array:
-            m = _model(sent.value)
-            if isinstance(ids, pa.ChunkedArray):
-                ids = ids.combine_chunks()
-            flat, off = ids.flatten().to_pylist(), np.concatenate(([0], np.cumsum([len(x) if x.is_valid else 0 for x in ids], dtype=np.int64))).tolist()
-            return pa.array([m.decode(flat[a:b]) if x.is_valid else None for x, a, b in zip(ids, off, off[1:])], pa.string())
+            return _model(sent.value).texts(ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids)
 
         return encoded.withColumn(text_col, back(F.col(ids_col)))

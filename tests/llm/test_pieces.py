@@ -35,6 +35,9 @@ def test_chunks_find_the_same_best_score(model):
         lefts = [min(a, model.longest - 1) for a in at]
         bodies = [s[a - n : e] for a, n, e in zip(at, lefts, ends)]
         ms = [model.matrix(b, n, e == len(s)) for b, n, e in zip(bodies, lefts, ends)]
+        for m, b, n, e in zip(ms, bodies, lefts, ends):
+            full = model._matrix(b, n, e == len(s))
+            assert m[0, 0] == full[0, 0] and (m <= full).all()
         product = ms[0]
         for m in ms[1:]:
             product = pieces.combine(product, m)
@@ -45,6 +48,8 @@ def test_chunks_find_the_same_best_score(model):
         st = pieces.boundaries(ms)
         parts = [n for b, k, i, j in zip(bodies, lefts, st, st[1:]) for n in model.trace(b, k - i, len(b) - j)]
         assert total(model, s, parts) == whole
+        ids = b"".join(model.between(b[k - i : len(b) - j]) for b, k, i, j in zip(bodies, lefts, st, st[1:]))
+        assert np.array_equal(np.frombuffer(ids, np.int32), model.to_ids(s, 0, parts))
 
 
 def test_equals_the_library_in_unigram_mode(model):
@@ -73,6 +78,21 @@ def test_round_trip_and_giants(spark, docs, rows):
         assert m.score(np.array(r.ids, int)) == m.score(np.array(one.ids, int))
 
 
+def test_column_decoding_and_split_words(model):
+    import pyarrow as pa
+
+    texts = [None, "", " ", "\n", " a", "a  b\n\n c ", "x.y, (z)s. don't_stop1\n-é", "\n a\nb \n", "日本 \U0001f600."]
+    ids = [None if t is None else np.frombuffer(model.encode(t), np.int32) for t in texts]
+    assert model.texts(pa.array(ids, pa.list_(pa.int32()))).to_pylist() == texts
+    assert model.texts(pa.array(ids, pa.list_(pa.int32()))[3:6]).to_pylist() == texts[3:6]
+    for t, x in zip(texts[1:], ids[1:]):
+        s = model.prepare(t)
+        assert x.tolist() == model.to_ids(s, 0, model.trace(s))
+        assert model.decode(x) == t
+    broken = pa.array([[next(iter(model.bytes.values())) + 200]], pa.list_(pa.int32()))
+    assert model.texts(broken).to_pylist() == [model.decode(broken[0].as_py())]
+
+
 def test_empty(spark, nothing):
     p = pieces.Pieces(spark)
     assert p.decode(p.encode(nothing)).collect() == []
