@@ -320,18 +320,16 @@ class Pieces:
             m = _model(sent.value)
             return _ints([m.encode(t) if t and len(t) <= chunk else b"" for t in (x.as_py() for x in text)])
 
-        small = docs.withColumn(ids_col, short(F.col(text_col)))
-        giant = self._giants(docs.select(F.col(text_col).alias("text")).where(F.char_length("text") > chunk))
-        # long texts are few and are joined by content; the others pass by
-        flag = F.col("giant__")
-        marked = small.withColumn("giant__", F.coalesce(F.char_length(text_col) > chunk, F.lit(False)))
-        plain = marked.where(~flag).drop("giant__")
-        hard = marked.where(flag).drop("giant__", ids_col).withColumn("key__", F.sha2(text_col, 256))
-        solved = hard.join(giant, hard["key__"] == giant["key"]).select(*(F.col(c) for c in docs.columns if c != ids_col), F.col("ids").alias(ids_col))
+        # long texts are few: read once, kept apart, and joined by content; the others pass by
+        flag = F.coalesce(F.char_length(text_col) > chunk, F.lit(False))
+        hard = cut(docs.where(flag).drop(ids_col).withColumn("key__", F.sha2(text_col, 256)))
+        giant = self._giants(hard.select(F.col("key__").alias("key"), F.col(text_col).alias("text")))
+        plain = docs.where(~flag).withColumn(ids_col, short(F.col(text_col)))
+        solved = hard.join(giant, hard["key__"] == giant["key"]).select(*(F.col(c) for c in docs.columns if c != ids_col), giant["ids"].alias(ids_col))
         return plain.select(*solved.columns).unionByName(solved)
 
     def _giants(self, texts: DataFrame) -> DataFrame:
-        """(key, ids) of the distinct texts, each by chunks on many tasks."""
+        """(key, ids) of the distinct texts of (key, text), each by chunks on many tasks."""
         sent, chunk = self.sent, self.chunk
 
         def split(batches):
@@ -367,7 +365,7 @@ class Pieces:
                 out.append(m.between(s[begin:end]))
             return _ints(out)
 
-        keyed = texts.select(F.sha2("text", 256).alias("key"), "text").dropDuplicates(["key"])
+        keyed = texts.dropDuplicates(["key"])
         chunks = cut(keyed.mapInArrow(split, "key string, k int, left int, ends boolean, body string").repartition("key", "k"))
         matrices = chunks.select("key", "k", transfer("body", "left", "ends").alias("m"))
         found = matrices.groupBy("key").applyInArrow(states, "key string, k int, enter int, leave int")
