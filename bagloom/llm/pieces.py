@@ -10,6 +10,7 @@ yields the boundary states of the best path, and every chunk is then traced back
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 from functools import lru_cache
@@ -292,7 +293,9 @@ def boundaries(matrices: list[np.ndarray]) -> list[int]:
 
 @lru_cache(2)
 def _model(raw: bytes) -> Model:
-    return Model(raw)
+    model = Model(raw)
+    gc.freeze()  # the collector need not visit the vocabulary again and again
+    return model
 
 
 def _ints(blobs: list[bytes]) -> pa.Array:
