@@ -17,6 +17,20 @@ def ids_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
 
 
+#: Bytes of an Arrow batch; Spark's own bound is in rows, which long texts make large, and 64 MB.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> None:
+    """Bounds what a Python worker and its JVM hold at a time, unless the session has a bound of its own.
+
+    A batch ends after the row that passes the bound, so only one text can exceed it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Eager checkpoint in the shared folder of spark.checkpoint.dir; survives lost executors.
 

@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, small_batches
 from .textscan import Texts, Words, counts_by, grams
 
 #: Symbol characters that are counted: # * $ % & | < >
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-SLICE = 1 << 21
+SLICE = 1 << 18
 MEASURES = T.StructType([T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")])
 
 #: Ratios that the adaptive rules look at; all are better low.
@@ -82,6 +82,7 @@ def _measures(text: pa.Array) -> pa.Array:
 
 def measure(docs: DataFrame, text_col: str = "text", name: str = "measures") -> DataFrame:
     """`docs` with a struct column of measures; a null text has no words."""
+    small_batches(docs)
     return docs.withColumn(name, _measures(F.col(text_col).cast("binary")))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, cut
+from .common import components, cut, small_batches
 
 BITS, BLOCKS, SHARED, MAX_DISTANCE = 64, 6, 3, 3
 #: Fingerprints in a bucket beyond which it is linked by stars.
@@ -75,6 +75,7 @@ def _fingerprint(text: pa.Array) -> pa.Array:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the fingerprint of each row as a signed 64-bit value; a null text has no words."""
+    small_batches(docs)
     return docs.select(F.col(id_col).cast("long").alias("id"), _fingerprint(F.col(text_col).cast("binary")).alias("fp"))
 
 

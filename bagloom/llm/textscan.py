@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at a time; bounds the scratch memory of one call.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 
 _U = np.uint64
 _BASE, _STEP = _U(0x9E3779B97F4A7C15 | 1), _U(0xD1342543DE82EF95)
