@@ -96,36 +96,69 @@ def _ratios(m: Column) -> dict[str, Column]:
     }
 
 
-def thresholds(measured: DataFrame, by: Sequence[str], spread: float, floors: dict[str, float], k: int = 400) -> DataFrame:
-    """(by..., one upper threshold for each ratio): upper quartile + spread * (upper quartile - median), not below its floor.
+def _trials(m: Column) -> dict[str, Column]:
+    """Independent observations behind each ratio of one document; repeats come in windows of WINDOW words."""
+    return {"symbol_ratio": m["n_words"], "dup_line_ratio": m["n_lines"], "repeat_ratio": m["n_words"] / WINDOW, "long_word": m["n_words"]}
 
-    One KLL sketch per ratio and (language, source); sketches merge across tasks, so a source that holds
-    a third of all rows costs one partial sketch a task.  k bounds the sketch (rank error about 1 %).
+
+def _scaled(name: str, c: Column) -> Column:
+    """A scale on which a ratio over n observations errs by about 1 / (2 sqrt(n)) whatever its size.
+
+    Arcsine of the root for shares; logarithm for the mean length of words, whose lengths vary by half their mean.
     """
-    ratios = _ratios(F.col("measures"))
-    sketch = measured.groupBy(*by).agg(*(F.kll_sketch_agg_double(c, k).alias(r) for r, c in ratios.items()))
-    q = lambda r, at: F.kll_sketch_get_quantile_double(F.col(r), F.lit(at))
-    return sketch.select(*by, *(F.greatest(q(r, 0.75) + spread * (q(r, 0.75) - q(r, 0.5)), F.lit(floors[r])).alias(f"max_{r}") for r in ratios))
+    return F.log1p(c) if name == "long_word" else F.asin(F.sqrt(F.least(c, F.lit(1.0))))
 
 
-#: Least values of the thresholds: no group's own spread may reject below them.
-FLOORS = {"symbol_ratio": 0.1, "dup_line_ratio": 0.3, "repeat_ratio": 0.2, "long_word": 15.0}
-SPREAD = 12.0
+def thresholds(measured: DataFrame, by: Sequence[str], k: int = 400) -> DataFrame:
+    """(by..., for each ratio the middle `mid_` and the deviation `dev_` of its group, scaled).
+
+    One KLL sketch per ratio and (language, source); sketches merge across tasks, so a source that holds
+    a third of all rows costs one partial sketch a task.  k bounds the sketch (rank error about 1 %).  The
+    deviation is that of the lower half, (median - lower quartile) / 0.674, which junk above the median does
+    not widen.  A group of n < LEAST rows takes the share 1 - n / LEAST of both from the merged sketch of its
+    language, and a small language from that of all rows.
+    """
+    ratios = _ratios(F.col("measures"))
+    sketch = cut(measured.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(c, k).alias(r) for r, c in ratios.items())))
+    merged = lambda g: g.agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(r, k).alias(r) for r in ratios))
+
+    def quantiles(p: str) -> list[Column]:
+        q = lambda r, at: _scaled(r, F.kll_sketch_get_quantile_double(F.col(r), F.lit(at)))
+        return [F.least(F.col("n") / LEAST, F.lit(1.0)).alias(f"{p}n"), *(q(r, at).alias(f"{p}{h}{r}") for r in ratios for h, at in (("lo_", 0.25), ("mid_", 0.5)))]
+
+    blend = lambda p, h, r, rest: F.col(f"{p}n") * F.col(f"{p}{h}{r}") + (1 - F.col(f"{p}n")) * rest
+    own = sketch.select(*by, *quantiles("own_"))
+    pool = merged(sketch.groupBy(F.col(by[0]).alias("pool__")))
+    pool = pool.select("pool__", *quantiles("pool_"))
+    whole = merged(sketch.groupBy())
+    whole = whole.select(*quantiles("all_"))
+    # languages and one row: far fewer than groups
+    both = own.join(F.broadcast(pool), F.col(by[0]).eqNullSafe(F.col("pool__"))).crossJoin(F.broadcast(whole))
+    at = lambda h, r: blend("own_", h, r, blend("pool_", h, r, F.col(f"all_{h}{r}")))
+    return both.select(*by, *(c for r in ratios for c in (at("mid_", r).alias(f"mid_{r}"), ((at("mid_", r) - at("lo_", r)) / 0.674).alias(f"dev_{r}"))))
+
+
+#: Deviations above the middle of its group beyond which a document is rejected.
+SPREAD = 4.0
+#: Rows from which a group's own sketch alone decides.
+LEAST = 20
 #: Most threshold rows that are broadcast.
 BROADCAST_ROWS = 50_000
 
 
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", spread: float = SPREAD, floors: dict[str, float] | None = None) -> DataFrame:
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", spread: float = SPREAD) -> DataFrame:
     """`docs` with `measures`, `base_failed` and `kept`.
 
     base_failed: under 20 words, or over 30 % of the words in repeated 8-word windows.  kept is false then,
-    or where a ratio exceeds the threshold of the document's (language, source).  Null language or source
+    or where a ratio lies over `spread` deviations above the middle of the document's (language, source); the
+    deviation joins the group's own with the error of a ratio over that document's words or lines.  No limit is
+    fixed: a group in which most documents are odd in one way keeps them.  Null language or source
     forms a group of its own; empty texts fail; repeated rows are judged alike; an empty table gives none.
     Column names of docs that equal `measures`, `base_failed` or `kept` are replaced.
     """
     with_m = measure(docs.drop("measures", "base_failed", "kept"), text_col)
     keys = with_m.withColumns({"lang__": F.col(lang_col), "source__": F.col(source_col)})
-    limits = thresholds(keys, ["lang__", "source__"], spread, floors or FLOORS).withColumnsRenamed({"lang__": "lang_l", "source__": "source_l"})
+    limits = thresholds(keys, ["lang__", "source__"]).withColumnsRenamed({"lang__": "lang_l", "source__": "source_l"})
     limits = cut(limits)
     if limits.count() <= BROADCAST_ROWS:  # one row a (language, source) of under 200 bytes; else a shuffled join
         limits = F.broadcast(limits)
@@ -134,5 +167,6 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
     odd = F.lit(False)
     for r, c in _ratios(m).items():
-        odd = odd | (c > F.coalesce(F.col(f"max_{r}"), F.lit(float("inf"))))
+        error = F.sqrt(F.pow(f"dev_{r}", F.lit(2.0)) + 1 / (4 * F.greatest(_trials(m)[r], F.lit(0.125))))
+        odd = odd | F.coalesce(_scaled(r, c) > F.col(f"mid_{r}") + spread * error, F.lit(False))
     return judged.select(*(F.col(c) for c in with_m.columns), failed.alias("base_failed"), (~failed & ~odd).alias("kept"))

@@ -33,5 +33,27 @@ def test_thresholds_follow_the_group(spark):
     assert plain and not kept.pop(500) and all(kept.values())
 
 
+def _words(i, n, odd=0):
+    """n words of their own, `odd` of them a symbol, each after a word."""
+    return " ".join("|" if j % 2 and j < 2 * odd else f"w{i}x{j}" for j in range(n))
+
+
+SCHEMA = "doc_id long, text string, lang string, source string"
+
+
+def test_groups_tighten_and_loosen_their_limits(spark):
+    clean = [(i, _words(i, 200), "en", "a") for i in range(100)]
+    clean.append((900, _words(900, 200, 40), "en", "a"))  # symbols under a tenth of the characters
+    junk = [(1000 + i, _words(i, 100, 50 if i < 40 else 0), "en", "hot") for i in range(100)]  # 40 % junk
+    code = [(2000 + i, _words(i, 100, 50), "en", "code") for i in range(100)]
+    small = [(3000, _words(1, 100, 50), "en", "small"), (3001, _words(2, 100), "en", "small")]
+    rows = clean + junk + code + small
+    kept = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [i for i, k in kept.items() if not k and i < 1000] == [900]
+    assert sorted(i for i, k in kept.items() if not k and 1000 <= i < 2000) == list(range(1000, 1040))
+    assert all(k for i, k in kept.items() if 2000 <= i < 3000)
+    assert not kept[3000] and kept[3001]
+
+
 def test_empty(nothing):
     assert quality.judge(nothing).collect() == []
