@@ -1,0 +1,20 @@
+from corpus_pipeline import decontamination, near_dedup
+
+SCHEMA = "doc_id long, text string, lang string"
+
+
+def _words(tag, n=60):
+    return " ".join(f"{tag}{i}" for i in range(n))
+
+
+def test_near_dedup_decides_by_row(spark):
+    rows = [(None, _words("a"), "en"), (None, _words("b"), "en"), (1, _words("c"), "en"), (1, _words("d"), "en"), (1, _words("c"), "en"), (-5, _words("b") + " z", "en")]
+    got = near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in spark.createDataFrame([rows[0], rows[2], rows[3], rows[5]], SCHEMA).collect())
+
+
+def test_decontamination_decides_by_row(spark, tmp_path):
+    spark.createDataFrame([(0, _words("hit", 12))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "x " + _words("hit", 12), "en"), (None, _words("a"), "en"), (None, None, "en"), (1, _words("hit", 12) + " y", "en"), (1, _words("b"), "en"), (2, _words("c"), "en")]
+    got = decontamination(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in spark.createDataFrame([rows[1], rows[2], rows[4], rows[5]], SCHEMA).collect())
