@@ -7,6 +7,8 @@ those that link to them.  A url that no rule fits is blocked if its host's distr
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,11 @@ from .common import cut
 
 #: Fixed values: (verdict, host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-DAMPING, ROUNDS = 0.85, 8
+DAMPING = 0.85
+#: Share of the walk that may be left when propagation ends.
+TOLERANCE = 1e-9
+#: Rounds that always suffice, as each leaves at most DAMPING of what was left.
+ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))
 #: Most rules that are broadcast.
 BROADCAST_RULES = 100_000
 
@@ -38,11 +44,13 @@ def edges(pages: DataFrame, host: Column, html_col: str) -> DataFrame:
     return raw.select("src", dst.alias("dst")).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(kind, host, rank): personalised PageRank of each kind of seeds; links: (kind, src, dst, n).
 
     seeds: (kind, host, weight).  Rank leaves a host along its links by their counts; what a host without
-    links holds goes nowhere.  Every round sums by host with partial sums and is checkpointed.
+    links holds goes nowhere.  Every round moves the mass of the round before one link on, sums by host with
+    partial sums and is checkpointed, until at most `tolerance` of each kind's mass still moves; that bounds
+    what any host's rank lacks.
     """
     total = seeds.groupBy("kind").agg(F.sum("weight").alias("all"))
     start = cut(seeds.groupBy("kind", "host").agg(F.sum("weight").alias("weight")).join(total, "kind").select("kind", "host", (F.col("weight") / F.col("all")).alias("start")))
@@ -51,13 +59,17 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     rank = start.select("kind", "host", F.col("start").alias("rank"))
     if flow.isEmpty():
         return rank
-    for _ in range(rounds):
-        moved = flow.join(rank, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (damping * F.col("share") * F.col("rank")).alias("rank"))
-        rank = cut(moved.unionByName(start.select("kind", "host", ((1 - damping) * F.col("start")).alias("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
-    return rank
+    state = start.select("kind", "host", ((1 - damping) * F.col("start")).alias("rank"), F.col("start").alias("mass"))
+    while True:
+        mass = damping * F.col("share") * F.col("mass")
+        moved = flow.join(state.where("mass > 0"), ["kind", "host"]).select("kind", F.col("dst").alias("host"), ((1 - damping) * mass).alias("rank"), mass.alias("mass"))
+        state = cut(state.withColumn("mass", F.lit(0.0)).unionByName(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("mass").alias("mass")))
+        left = state.groupBy("kind").agg(F.sum("mass").alias("mass")).agg(F.max("mass")).first()[0]  # one number
+        if not left or left <= tolerance:
+            return state.select("kind", "host", "rank")
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust): one row per row of pages.
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest wins, of equally
@@ -81,7 +93,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     seeds = ruled.where("best is not null").groupBy(F.col("best.verdict").alias("kind"), "host").agg(F.count(F.lit(1)).alias("weight"))
     e = cut(edges(pages, host, html_col))
     links = e.select(F.lit("allow").alias("kind"), "src", "dst", "n").unionByName(e.select(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    rank = propagate(links, seeds, damping, rounds)
+    rank = propagate(links, seeds, damping, tolerance)
     both = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "allow", F.col("rank"))).alias("trust"), F.sum(F.when(F.col("kind") == "block", F.col("rank"))).alias("distrust"))
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     out = ruled.join(both, "host", "left").select("id", "host", "path", "best", zero("trust"), zero("distrust"))

@@ -71,5 +71,14 @@ def test_matches_brute_force(spark):
     assert verdict[2] == verdict[3] == "allow" and verdict[5] == verdict[6] == "block"
 
 
+def test_distrust_reaches_along_a_long_chain(spark):
+    hosts = ["spam.net", *(f"h{i}.com" for i in range(1, 15))]
+    rows = [(i, f"http://{h}/a", f'<a href="http://{hosts[i - 1]}/">x</a>' if i else None) for i, h in enumerate(hosts)]
+    got = {r.id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(r.verdict == "block" for r in got.values())
+    for i, r in got.items():
+        assert r.distrust == pytest.approx(0.15 * 0.85**i)
+
+
 def test_empty(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
