@@ -1,11 +1,13 @@
 """Document log-likelihood under a gated recurrent language model, trained here in numpy.
 
 Counts of all training words are exchanged by packs.  The most frequent words form the model's vocabulary,
-in classes of equal size by frequency; a word's probability is that of its class times that of the word in
-its class.  Words outside share one symbol and are spread by their counts, so the probabilities of all words
-sum to one.  The network is trained on every token of the training documents by truncated backpropagation,
-in two rounds of local steps on all tasks; after a round the tasks' parameters are averaged, weighted by
-tokens.  The hidden state is carried across windows, so a document is scored as a whole.
+which grows with the training tokens (classes_for), in classes of equal size by frequency; a word's
+probability is that of its class times that of the word in its class.  Words outside share one symbol and
+are spread by their counts, so the probabilities of all words sum to one.  The output starts at the counts'
+own logarithms, so the network learns what the words before add to them.  It is trained on every token of the
+training documents by truncated backpropagation, in two rounds of local steps on all tasks; after a round the
+tasks' parameters are averaged, weighted by tokens.  The hidden state is carried across windows, so a document
+is scored as a whole.
 """
 
 from __future__ import annotations
@@ -23,18 +25,25 @@ from .common import cut
 from .packs import NO_ID, Pack, answered, blobs, dealt, dump, gather, groups, load, offers, pack, total_bytes
 from .textscan import LOWER_VALUE, NON_SPACE, Words
 
-#: Vocabulary of the network; the first two symbols are the end and all other words.
-VOCABULARY, CLASSES, HIDDEN = 1024, 32, 16
+#: Units of the network, and classes at BASE_TOKENS training tokens or fewer; a class has as many words as there are classes.
+HIDDEN, CLASSES, BASE_TOKENS = 16, 32, 4_000_000
 #: Steps of a window; gradients do not reach behind it.
 STEPS = 16
-STREAMS = 512
+STREAMS, LEAST_STREAMS = 512, 32
+#: Steps of training that fewer streams make up for.
+LEAST_UPDATES = 200
+#: Tokens of a training sequence; the state starts anew with each.  Scoring carries it over whole documents.
+SEGMENT = 4096
 #: Tokens that a task gathers before it deals them to streams.
 GATHER = 3_000_000
-RATE = 0.08
+RATE, START = 0.1, 1e-8
+#: The first two symbols: the end and all words outside the vocabulary.
 END, OTHER = 0, 1
 #: Key of the end among word hashes (a fixed value; a word has it with probability 2**-64).
 END_KEY = np.uint64(0x5EED0E11D0C0FFEE)
 BUCKET_BYTES = 16 << 20
+#: Tasks' parameters that are summed at a time.
+AVERAGE = 16
 
 
 def held_out(ids: np.ndarray) -> np.ndarray:
@@ -45,21 +54,40 @@ def held_out(ids: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- the network
 
 
+def classes_for(tokens: int) -> int:
+    """Classes of the output; the vocabulary, their square, grows as the fourth root of the training tokens.
+
+    1024 symbols at 4 million tokens or fewer, 2209 at 80 million, about 46 000 at 10**13.
+    """
+    return round(CLASSES * max(1.0, tokens / BASE_TOKENS) ** 0.125)
+
+
 class Network:
     """Parameters by name, one flat float32 array."""
 
-    SHAPES = {"x": (VOCABULARY, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "w": (CLASSES, HIDDEN, VOCABULARY // CLASSES), "wb": (CLASSES, VOCABULARY // CLASSES)}
-
-    def __init__(self, flat: np.ndarray | None = None):
-        size = sum(int(np.prod(s)) for s in self.SHAPES.values())
+    def __init__(self, flat: np.ndarray | None = None, classes: int = CLASSES):
+        self.classes, v = classes, classes * classes
+        shapes = {"x": (v, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "c": (HIDDEN, classes), "cb": (classes,), "w": (classes, HIDDEN, classes), "wb": (classes, classes)}
         if flat is None:
-            flat = np.random.default_rng(11).normal(0, 0.15, size).astype(np.float32)
+            flat = np.random.default_rng(11).normal(0, 0.15, sum(int(np.prod(x)) for x in shapes.values())).astype(np.float32)
         self.flat, at = np.array(flat, np.float32), 0
-        for name, shape in self.SHAPES.items():
+        for name, shape in shapes.items():
             n = int(np.prod(shape))
             setattr(self, name, self.flat[at : at + n].reshape(shape))
             at += n
 
+    @classmethod
+    def from_counts(cls, counts: np.ndarray, classes: int) -> "Network":
+        """A network whose output, before training, follows the counts of symbols closely."""
+        net, c = cls(classes=classes), np.full(classes * classes, 0.1)
+        c[: len(counts)] = np.maximum(counts, 0.1)
+        c = c.reshape(classes, classes)
+        total = c.sum(axis=1)
+        net.wb[:], net.cb[:] = np.log(c / total[:, None]), np.log(total / total.sum())
+        net.c *= 0.3
+        net.w *= 0.3
+        return net
+
     def step(self, h: np.ndarray, tokens: np.ndarray):
         """Next hidden state, and what its gradient needs."""
         a, b = self.x[tokens], h @ self.u
@@ -82,8 +110,7 @@ class Network:
 
     def output(self, h: np.ndarray, target: np.ndarray, grad: "Network | None" = None):
         """Natural log-probabilities of targets; with grad, also the gradient of minus their sum by h."""
-        size = VOCABULARY // CLASSES
-        cls, word = target // size, target % size
+        cls, word = target // self.classes, target % self.classes
         logits = h @ self.c + self.cb
         logits -= logits.max(axis=1, keepdims=True)
         e = np.exp(logits)
@@ -98,8 +125,8 @@ class Network:
             grad.cb += e.sum(axis=0)
             d = e @ self.c.T
         order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
+        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        for k in range(self.classes):
             i = order[cuts[k] : cuts[k + 1]]
             if not len(i):
                 continue
@@ -132,80 +159,100 @@ def streams(lengths: np.ndarray, most: int) -> list[list[int]]:
 
 
 class Lockstep:
-    """Token sequences laid out as streams, longest first; a state starts at zero with each document."""
+    """Token sequences laid end to end in streams, longest first; a state starts at zero with each sequence.
+
+    Tokens are kept once, in one flat array, and a window gathers its part of each stream, so memory follows
+    the tokens and not the longest sequence times the streams.
+    """
 
     def __init__(self, docs: list[np.ndarray], most: int = STREAMS):
-        self.docs = docs
-        lengths = np.array([len(d) for d in docs])
-        self.order = streams(lengths, most)
-        self.size = np.array([sum(len(docs[i]) for i in own) for own in self.order])
-        self.target = np.zeros((int(self.size[0]) if len(self.size) else 0, len(self.order)), np.int16)
-        self.before = np.full(self.target.shape, END, np.int16)
-        self.fresh = np.zeros(self.target.shape, bool)
-        for k, own in enumerate(self.order):
-            line = np.concatenate([docs[i] for i in own])
-            starts = np.cumsum([0] + [len(docs[i]) for i in own[:-1]])
-            self.target[: len(line), k] = line
-            self.before[1 : len(line), k] = line[:-1]
-            self.before[starts, k] = END
-            self.fresh[starts, k] = True
-
-    def windows(self):
-        """(first step, last step, active streams at each step)."""
-        active = np.searchsorted(-self.size, -np.arange(len(self.target)), "left")
-        for a in range(0, len(self.target), STEPS):
-            b = min(len(self.target), a + STEPS)
-            yield a, b, active[a:b]
+        lengths = np.array([len(d) for d in docs], np.int64)
+        order = streams(lengths, most)
+        self.size = np.array([lengths[own].sum() for own in order], np.int64)
+        self.off = np.concatenate(([0], np.cumsum(self.size)[:-1])).astype(np.int64) if order else np.zeros(0, np.int64)
+        self.which = np.array([i for own in order for i in own], np.int64)
+        self.target = np.concatenate([docs[i] for i in self.which]) if order else np.zeros(0, np.int32)
+        starts = np.cumsum(lengths[self.which]) - lengths[self.which]
+        self.before = np.append(np.int32(END), self.target[:-1])[: len(self.target)]
+        self.fresh = np.zeros(len(self.target), bool)
+        self.before[starts], self.fresh[starts] = END, True
+
+    def windows(self, tokens: int = 0):
+        """(positions of each step's tokens) of STEPS steps, or of as many as hold about `tokens` tokens."""
+        a, last = 0, int(self.size[0]) if len(self.size) else 0
+        while a < last:
+            n = int(np.searchsorted(-self.size, -a, "left"))
+            b = min(last, a + max(STEPS, tokens // n))
+            active = np.searchsorted(-self.size, -np.arange(a, b), "left")
+            yield [self.off[:n] + t for t, n in zip(range(a, b), active.tolist())]
+            a = b
+
+
+def segments(docs: list[np.ndarray]) -> list[np.ndarray]:
+    """Training sequences: documents of over SEGMENT tokens in parts, which keep streams of like length."""
+    return [d[i : i + SEGMENT] for d in docs for i in range(0, len(d), SEGMENT)]
 
 
 def train(net: Network, memory: np.ndarray, docs: list[np.ndarray], rate: float = RATE) -> None:
-    """One pass of adaptive gradient steps over the documents, in place; memory: squared gradients so far."""
-    lock = Lockstep(docs)
-    h = np.zeros((len(lock.order), HIDDEN), np.float32)
-    for a, b, active in lock.windows():
-        grad, saved, states = Network(np.zeros_like(net.flat)), [], []
-        for t, n in zip(range(a, b), active):
-            start = h[:n] * ~lock.fresh[t, :n, None]
-            new, keep = net.step(start, lock.before[t, :n])
+    """One pass of adaptive gradient steps over the documents, in place; memory: squared gradients so far.
+
+    The fewer tokens, the fewer streams run side by side, so that small corpora get as many steps.
+    """
+    total = sum(map(len, docs))
+    lock = Lockstep(segments(docs), int(np.clip(total // (STEPS * LEAST_UPDATES), LEAST_STREAMS, STREAMS)))
+    h = np.zeros((len(lock.size), HIDDEN), np.float32)
+    grad = Network(np.zeros_like(net.flat), net.classes)
+    for steps in lock.windows():
+        saved, states, tokens, new_doc = [], [], [], []
+        for at in steps:
+            n = len(at)
+            tokens.append(lock.before[at])
+            new_doc.append(lock.fresh[at])
+            start = h[:n]
+            if new_doc[-1].any():
+                start = start * ~new_doc[-1][:, None]
+            new, keep = net.step(start, tokens[-1])
             h[:n] = new
             saved.append(keep)
             states.append(new)
-        target = np.concatenate([lock.target[t, :n] for t, n in zip(range(a, b), active)]).astype(np.int64)
+        grad.flat[:] = 0
+        target = lock.target[np.concatenate(steps)].astype(np.int64)
         _, d = net.output(np.concatenate(states), target, grad)
-        edges = np.concatenate(([0], np.cumsum(active)))
-        back, rows, tokens = np.zeros((0, HIDDEN), np.float32), [], []
-        for k in range(b - a - 1, -1, -1):
+        edges = np.cumsum([0] + [len(at) for at in steps])
+        back, rows = np.zeros((0, HIDDEN), np.float32), []
+        for k in range(len(steps) - 1, -1, -1):
             own = d[edges[k] : edges[k + 1]]
             own[: len(back)] += back
             back, row = net.step_back(own, saved[k], grad.u)
-            back = back * ~lock.fresh[a + k, : active[k], None]
+            if new_doc[k].any():
+                back = back * ~new_doc[k][:, None]
             rows.append(row)
-            tokens.append(lock.before[a + k, : active[k]])
-        token, row = np.concatenate(tokens), np.concatenate(rows)
+        token, row = np.concatenate(tokens[::-1]), np.concatenate(rows)
         order = np.argsort(token, kind="stable")
         first = np.flatnonzero(np.append(True, np.diff(token[order]) != 0))
-        grad.x[token[order][first]] = np.add.reduceat(row[order], first, axis=0)
+        seen = token[order][first]
+        grad.x[seen] = np.add.reduceat(row[order], first, axis=0)
         grad.flat /= len(target)
         memory += grad.flat * grad.flat
-        net.flat -= rate * grad.flat / (np.sqrt(memory) + 1e-6)
+        net.flat -= rate * grad.flat / np.sqrt(memory)
 
 
 def score(net: Network, docs: list[np.ndarray]) -> np.ndarray:
-    """Log10 probability of each token sequence."""
+    """Log10 probability of each token sequence, the state being carried over the whole of it."""
     lock, out = Lockstep(docs, 2 * STREAMS), np.zeros(len(docs))
-    which = np.zeros(lock.target.shape, np.int32)
-    for k, own in enumerate(lock.order):
-        which[: lock.size[k], k] = np.repeat(own, [len(docs[i]) for i in own])
-    h = np.zeros((len(lock.order), HIDDEN), np.float32)
-    for a, b, active in lock.windows():
+    lengths = np.array([len(docs[i]) for i in lock.which], np.int64)
+    owner = np.repeat(lock.which.astype(np.int32), lengths)
+    h = np.zeros((len(lock.size), HIDDEN), np.float32)
+    for steps in lock.windows(2 * STREAMS * STEPS):
         states = []
-        for t, n in zip(range(a, b), active):
-            new, _ = net.step(h[:n] * ~lock.fresh[t, :n, None], lock.before[t, :n])
+        for at in steps:
+            n, fresh = len(at), lock.fresh[at]
+            new, _ = net.step(h[:n] * ~fresh[:, None] if fresh.any() else h[:n], lock.before[at])
             h[:n] = new
             states.append(new)
-        pick = lambda x: np.concatenate([x[t, :n] for t, n in zip(range(a, b), active)])  # noqa: B023, E731
-        got, _ = net.output(np.concatenate(states), pick(lock.target).astype(np.int64))
-        out += np.bincount(pick(which), weights=got.astype(np.float64), minlength=len(docs))
+        at = np.concatenate(steps)
+        got, _ = net.output(np.concatenate(states), lock.target[at].astype(np.int64))
+        out += np.bincount(owner[at], weights=got.astype(np.float64), minlength=len(docs))
     return out / np.log(10)
 
 
@@ -230,38 +277,49 @@ class _Tokens:
     def symbols(self, vocabulary: dict[int, int]) -> list[np.ndarray]:
         """Each document as symbols of the network, the end included."""
         known = np.array(sorted(vocabulary), np.uint64)
-        symbol = np.array([vocabulary[k] for k in sorted(vocabulary)], np.int16)
+        symbol = np.array([vocabulary[k] for k in sorted(vocabulary)], np.int32)
         if len(known):
             i = np.minimum(np.searchsorted(known, self.keys), len(known) - 1)
-            own = np.where(known[i] == self.keys, symbol[i], OTHER).astype(np.int16)
+            own = np.where(known[i] == self.keys, symbol[i], OTHER).astype(np.int32)
         else:
-            own = np.full(len(self.keys), OTHER, np.int16)
+            own = np.full(len(self.keys), OTHER, np.int32)
         line = own[self.which]
-        return [np.append(line[a:b], np.int16(END)) for a, b in zip(self.words.off, self.words.off[1:])]
+        return [np.append(line[a:b], np.int32(END)) for a, b in zip(self.words.off, self.words.off[1:])]
 
 
-def _summed(bucket, numbers, got):
-    """The counts of each pack's keys over all packs; and, to number -1, the bucket's keys and counts."""
-    u, inv, parts = groups([k for k, _ in got])
-    total = np.zeros(len(u), np.int64)
-    np.add.at(total, inv, np.concatenate([c for _, c in got]))
-    for n, part in zip(numbers, parts):
-        yield n, dump(total[inv[part]])
-    word = (u != END_KEY) & (total > 0)
-    best = np.lexsort((u[word], -total[word]))[:VOCABULARY]
-    yield -1, dump(int(total.sum()), int((total > 0).sum()), int(total[u == END_KEY].sum()), u[word][best], total[word][best])
+def _summed(most: int):
+    def run(bucket, numbers, got):
+        """The counts of each pack's keys over all packs; and, to number -1, totals and the bucket's `most` first words."""
+        u, inv, parts = groups([k for k, _ in got])
+        total = np.zeros(len(u), np.int64)
+        np.add.at(total, inv, np.concatenate([c for _, c in got]))
+        for n, part in zip(numbers, parts):
+            yield n, dump(total[inv[part]])
+        word = (u != END_KEY) & (total > 0)
+        best = np.lexsort((u[word], -total[word]))[:most]
+        yield -1, dump(int(total.sum()), int((total > 0).sum()), int(total[u == END_KEY].sum()), u[word][best], total[word][best])
+
+    return run
 
 
 @dataclass
 class Statistics:
-    """Totals over training tokens, and the network's vocabulary: symbol by word hash."""
+    """Totals over training tokens; the network's vocabulary, symbol by word hash; counts by symbol."""
 
     tokens: int
     distinct: int
     vocabulary: dict[int, int]
-    other_tokens: int
+    counts: np.ndarray
     other_distinct: int
 
+    @property
+    def classes(self) -> int:
+        return classes_for(self.tokens)
+
+    @property
+    def other_tokens(self) -> int:
+        return int(self.counts[OTHER])
+
 
 def _statistics(sums: DataFrame) -> Statistics:
     def rows(batches):
@@ -272,49 +330,51 @@ def _statistics(sums: DataFrame) -> Statistics:
 
     own = sums.where("pack = -1").select("data").mapInArrow(rows, "n long, v long, ends long, key long, count long")
     n, v, ends = (x or 0 for x in own.agg(F.sum("n"), F.sum("v"), F.sum("ends")).first())
-    top = own.where("key is not null").orderBy(F.desc("count"), "key").limit(VOCABULARY - 2).collect()  # bounded by the vocabulary
-    return Statistics(n, v, {r["key"] % 2**64: k + 2 for k, r in enumerate(top)}, n - ends - sum(r["count"] for r in top), v - (ends > 0) - len(top))
+    top = own.where("key is not null").orderBy(F.desc("count"), "key").limit(classes_for(n) ** 2 - 2).collect()  # bounded by the vocabulary
+    count = np.array([r["count"] for r in top], np.int64)
+    return Statistics(n, v, {r["key"] % 2**64: k + 2 for k, r in enumerate(top)}, np.concatenate(([ends, n - ends - count.sum()], count)), v - (ends > 0) - len(top))
 
 
 def _average(parts: DataFrame, tasks: int) -> np.ndarray | None:
-    """Token-weighted mean of the tasks' parameters, summed in groups of 64 until 64 are left."""
+    """Token-weighted mean of the tasks' parameters, summed in groups of AVERAGE until one row is left."""
 
     def add(group: pa.Table) -> pa.Table:
         total, weight = 0.0, 0.0
         for w, x in zip(group.column("weight").to_pylist(), group.column("net").to_pylist()):
             total, weight = total + np.frombuffer(x, np.float64), weight + w
-        return pa.table({"task": [group.column("task")[0].as_py() // 64], "weight": [weight], "net": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"task": [group.column("task")[0].as_py() // AVERAGE], "weight": [weight], "net": pa.array([total.tobytes()], pa.binary())})
 
-    while tasks > 64:
-        parts = parts.groupBy(F.floor(F.col("task") / 64)).applyInArrow(add, "task long, weight double, net binary")
-        tasks = -(-tasks // 64)
-    got = parts.collect()  # 64 rows of about 0.5 MB at most
+    while tasks > 1:
+        parts = parts.groupBy(F.floor(F.col("task") / AVERAGE)).applyInArrow(add, "task long, weight double, net binary")
+        tasks = -(-tasks // AVERAGE)
+    got = parts.collect()  # one row of parameters
     weight = sum(r["weight"] for r in got)
     return sum(np.frombuffer(r["net"], np.float64) for r in got) / weight if weight else None
 
 
-def fit(packs: DataFrame, vocabulary: dict[int, int]) -> np.ndarray:
+def fit(packs: DataFrame, stats: Statistics) -> np.ndarray:
     """Parameters after two rounds: the first on one pack in eight, the second on all the others."""
     sc = packs.sparkSession.sparkContext
-    known, flat = sc.broadcast(vocabulary), Network().flat
+    # of the vocabulary's size
+    known, classes, flat = sc.broadcast(stats.vocabulary), stats.classes, Network.from_counts(stats.counts, stats.classes).flat
     for part in (0, 1):
         sent = sc.broadcast(flat)
 
         def learn(batches, sent=sent, part=part):
-            net, docs, size, weight = Network(sent.value), [], 0, 0
-            memory = np.full(len(net.flat), 1e-8, np.float32)
+            net, docs, size, weight = Network(sent.value, classes), [], 0, 0
+            memory = np.full(len(net.flat), START, np.float32)
             for b in batches:
                 for i in range(b.num_rows):
                     p = Pack(b.column("pack")[i].as_py(), b.column("data")[i].as_py())
                     t = _Tokens(p)
-                    docs += [d for d, h in zip(t.symbols(known.value), t.held) if not h]
-                    size = sum(map(len, docs))
+                    new = [d for d, h in zip(t.symbols(known.value), t.held) if not h]
+                    docs, size = docs + new, size + sum(map(len, new))
                     if size >= GATHER:
                         train(net, memory, docs)
-                        weight, docs = weight + size, []
+                        weight, docs, size = weight + size, [], 0
             if docs:
                 train(net, memory, docs)
-                weight += sum(map(len, docs))
+                weight += size
             if weight:
                 yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().partitionId()], pa.int64()), "weight": [float(weight)], "net": pa.array([(net.flat.astype(np.float64) * weight).tobytes()], pa.binary())})
 
@@ -328,24 +388,26 @@ def fit(packs: DataFrame, vocabulary: dict[int, int]) -> np.ndarray:
 def likelihoods(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row per row of docs.
 
-    A null or empty text is its end alone.  Repeated rows count and are scored each; an empty table gives
+    A null or empty text is its end alone; a very long one is scored in windows, with memory for its tokens.  Repeated rows count and are scored each; an empty table gives
     no row; without training documents all words are unknown and the network is as initialised.
     """
     packs = pack(docs, id_col, text_col)
     # a distinct word of a pack is met for about 20 bytes of text; 16 bytes with its count
-    buckets = 1 + total_bytes(packs) * 16 // 20 // BUCKET_BYTES
+    size = total_bytes(packs)
+    buckets = 1 + size * 16 // 20 // BUCKET_BYTES
 
     def words(p: Pack):
         keys, count = _Tokens(p).counts()
         return [(b, dump(keys[lo:hi], count[lo:hi])) for b, lo, hi in dealt(keys, buckets)]
 
-    sums = cut(answered(offers(packs, words), _summed))
+    sums = cut(answered(offers(packs, words), _summed(classes_for(size) ** 2)))  # a text has fewer tokens than bytes and ends
     stats = _statistics(sums)
     sc = packs.sparkSession.sparkContext
-    model, sent = sc.broadcast(fit(packs, stats.vocabulary)), sc.broadcast(stats)
+    model, sent = sc.broadcast(fit(packs, stats)), sc.broadcast(stats)
 
     def run(batches):
-        net, s = Network(model.value), sent.value
+        s = sent.value
+        net = Network(model.value, s.classes)
         cols, symbols, size = [], [], 0
         n, v = s.tokens, s.distinct
 

@@ -11,7 +11,7 @@ from bagloom.llm import scoring
 def test_gradient_matches_finite_differences():
     r = np.random.default_rng(2)
     net = scoring.Network()
-    h, tokens, target = r.normal(size=(5, scoring.HIDDEN)).astype(np.float32), r.integers(0, 50, 5), r.integers(0, scoring.VOCABULARY, 5)
+    h, tokens, target = r.normal(size=(5, scoring.HIDDEN)).astype(np.float32), r.integers(0, 50, 5), r.integers(0, scoring.CLASSES**2, 5)
 
     def loss(n):
         new, _ = n.step(h, tokens)
@@ -35,11 +35,11 @@ def test_gradient_matches_finite_differences():
 
 def test_probabilities_sum_to_one_and_state_is_carried():
     net = scoring.Network()
-    every = np.arange(scoring.VOCABULARY)
+    every = np.arange(scoring.CLASSES**2)
     new, _ = net.step(np.zeros((len(every), scoring.HIDDEN), np.float32), np.zeros(len(every), int))
     assert np.exp(net.output(new, every)[0].astype(float)).sum() == pytest.approx(1, abs=1e-4)
     r = np.random.default_rng(0)
-    docs = [np.append(r.integers(1, 90, n), 0).astype(np.int16) for n in (0, 1, 70, 33, 5, 200, 16, 15)]
+    docs = [np.append(r.integers(1, 90, n), 0).astype(np.int32) for n in (0, 1, 70, 33, 5, 200, 16, 15)]
     got = scoring.score(net, docs)
     for d, s in zip(docs, got):
         h, total, before = np.zeros((1, scoring.HIDDEN), np.float32), 0.0, 0
@@ -50,9 +50,47 @@ def test_probabilities_sum_to_one_and_state_is_carried():
         assert s == pytest.approx(total / math.log(10), rel=1e-3, abs=1e-3)
 
 
+def test_one_very_long_text_beside_short_ones():
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    docs = [np.append(r.integers(1, 900, 200_000), 0).astype(np.int32)] + [np.append(r.integers(1, 900, 20), 0).astype(np.int32) for _ in range(1023)]
+    net = scoring.Network()
+    tracemalloc.start()
+    whole = scoring.score(net, docs)
+    scoring.train(net, np.full(len(net.flat), scoring.START, np.float32), docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20 and np.isfinite(whole).all() and np.isfinite(net.flat).all()
+
+
+def test_starts_at_counts_and_vocabulary_grows():
+    counts = np.array([50, 400, *range(300, 0, -1)])
+    net = scoring.Network.from_counts(counts, 32)
+    every = np.arange(len(counts))
+    got = net.output(np.zeros((len(every), scoring.HIDDEN), np.float32), every)[0]
+    assert np.exp(got) == pytest.approx(counts / counts.sum(), rel=0.01)
+    assert [scoring.classes_for(n) for n in (0, 4_000_000, 80_000_000, 10**13)] == [32, 32, 47, 202]
+
+
+def test_held_out_score_beats_counts(spark):
+    """An order-one chain over 40 words: the words before tell much that counts cannot."""
+    r = np.random.default_rng(4)
+    step = r.dirichlet(np.full(40, 0.05), 40)
+    rows = []
+    for i in range(300):
+        w, out = 0, []
+        for _ in range(100):
+            w = int(r.choice(40, p=step[w]))
+            out.append(f"w{w}")
+        rows.append((i, " ".join(out)))
+    got = scoring.likelihoods(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    assert sum(x.score for x in got) > 0.8 * sum(x.base_score for x in got)
+
+
 def test_training_helps():
     r = np.random.default_rng(1)
-    docs = [np.append(np.tile([2, 40, 7, 300], r.integers(5, 60)), 0).astype(np.int16) for _ in range(60)]
+    docs = [np.append(np.tile([2, 40, 7, 300], r.integers(5, 60)), 0).astype(np.int32) for _ in range(60)]
     net = scoring.Network()
     before = scoring.score(net, docs[:5]).sum()
     for _ in range(4):
