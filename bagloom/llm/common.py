@@ -31,15 +31,47 @@ def small_batches(df: DataFrame) -> None:
         df.sparkSession.conf.set(key, str(BATCH_BYTES))
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; one of our own only where it is unset and all runs on this machine."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="bagloom-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Eager checkpoint in the shared folder of spark.checkpoint.dir; survives lost executors.
+    """Eager checkpoint in the shared folder; survives lost executors."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+#: Rows of one key beyond which its rows are spread over parts, and the most keys that can be hot at once.
+HOT_ROWS, HOT_KEYS = 1024, 10_000
 
-    A folder of our own is set only where the session names none, as in tests.
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """(key, parts__) of keys with over HOT_ROWS rows, or over a HOT_KEYS-th of all: at most HOT_KEYS rows."""
+    limit = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n__")).where(F.col("n__") > limit)
+    return cut(sizes.select(key, F.ceil(F.col("n__") / limit).cast("long").alias("parts__")))
+
+
+def join_spread(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """rows left-joined with facts (one row a key); a hot key's rows go to several tasks, its fact to each.
+
+    hot is broadcast: HOT_KEYS bounds it.  rows must be read alike each time (a checkpoint or files), as parts are
+    dealt by row numbers.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bagloom-"))
-    return df.checkpoint(eager=True)
+    number = F.when(F.col("parts__").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("parts__"))).otherwise(F.lit(0).cast("long"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("part__", number).drop("parts__")
+    copies = F.sequence(F.lit(0).cast("long"), F.coalesce("parts__", F.lit(1).cast("long")) - 1)
+    spread = facts.join(F.broadcast(hot), key, "left").withColumn("part__", F.explode(copies)).drop("parts__")
+    return dealt.join(spread, [key, "part__"], "left").drop("part__")
 
 
 def same(a: Column, b: Column) -> Column:

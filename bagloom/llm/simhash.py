@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, cut, small_batches
+from .common import components, cut, hot_keys, join_spread, small_batches
 
 BITS, BLOCKS, SHARED, MAX_DISTANCE = 64, 6, 3, 3
 #: Fingerprints in a bucket beyond which it is linked by stars.
@@ -130,10 +130,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts without words have fingerprint zero and are linked like any other.  A null id takes part, but
     names a component only where no member has an id.  Repeated rows give repeated rows; an empty table none.
+    Very long texts are hashed whole, CHUNK shingles at a time; copies, however many, are one class and come
+    back by a join whose hot fingerprints are spread.
     """
     fp = cut(fingerprints(docs, id_col, text_col))
     classes = fp.groupBy("fp").agg(F.min("id").alias("first"))
     label = components(links(classes.select("fp"), hot))
     named = cut(classes.join(label, classes["fp"] == label["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label")))
     least = named.groupBy("label").agg(F.min("first").alias("component"))
-    return fp.join(named.select("fp", "label").join(least, "label").select("fp", "component"), "fp").select("id", "fp", "component")
+    named = named.select("fp", "label").join(least, "label").select("fp", "component")
+    return join_spread(fp, named, "fp", hot_keys(fp, "fp")).select("id", "fp", "component")

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hot_keys, join_spread
 
 #: Fixed values: (verdict, host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -56,9 +56,6 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     start = cut(seeds.groupBy("kind", "host").agg(F.sum("weight").alias("weight")).join(total, "kind").select("kind", "host", (F.col("weight") / F.col("all")).alias("start")))
     out = links.groupBy("kind", "src").agg(F.sum("n").alias("out"))
     flow = cut(links.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("out")).alias("share")))
-    rank = start.select("kind", "host", F.col("start").alias("rank"))
-    if flow.isEmpty():
-        return rank
     state = start.select("kind", "host", ((1 - damping) * F.col("start")).alias("rank"), F.col("start").alias("mass"))
     while True:
         mass = damping * F.col("share") * F.col("mass")
@@ -74,11 +71,13 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest wins, of equally
     long ones the blocking one.  Hosts that no seed reaches are allowed, an empty host too.  Null html has no
-    links; repeated rows repeat and weigh twice as seeds; an empty table gives no row.
+    links; repeated rows repeat and weigh twice as seeds; an empty table gives no row.  Very long html is read
+    whole; a host of very many pages is joined in parts.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    rows = cut(pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")))
+    hot = hot_keys(rows, "host")
     parsed = [(v, r, r.partition("/")[0], "/" + r.partition("/")[2]) for v, r in rules]
     table = spark.createDataFrame(parsed, "verdict string, rule string, rule_host string, rule_path string")
     if len(parsed) <= BROADCAST_RULES:
@@ -89,13 +88,13 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     suffix = names.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))).alias("rule_host"))
     fits = cut(suffix.join(table, "rule_host").groupBy("host").agg(F.collect_set(F.struct("rule", "rule_path", "verdict")).alias("rules")))
     best = F.array_max(F.transform(F.filter("rules", lambda r: F.col("path").startswith(r["rule_path"])), lambda r: F.struct(F.length(r["rule"]).alias("n"), (r["verdict"] == "block").alias("block"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
-    ruled = rows.join(fits, "host", "left").select("id", "host", "path", best.alias("best"))
+    ruled = cut(join_spread(rows, fits, "host", hot).select("id", "host", "path", best.alias("best")))
     seeds = ruled.where("best is not null").groupBy(F.col("best.verdict").alias("kind"), "host").agg(F.count(F.lit(1)).alias("weight"))
     e = cut(edges(pages, host, html_col))
     links = e.select(F.lit("allow").alias("kind"), "src", "dst", "n").unionByName(e.select(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     rank = propagate(links, seeds, damping, tolerance)
     both = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "allow", F.col("rank"))).alias("trust"), F.sum(F.when(F.col("kind") == "block", F.col("rank"))).alias("distrust"))
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    out = ruled.join(both, "host", "left").select("id", "host", "path", "best", zero("trust"), zero("distrust"))
+    out = join_spread(ruled, both, "host", hot).select("id", "host", "path", "best", zero("trust"), zero("distrust"))
     verdict = F.coalesce("best.verdict", F.when(F.col("distrust") > F.col("trust"), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), "trust", "distrust")
