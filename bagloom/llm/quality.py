@@ -146,27 +146,29 @@ LEAST = 20
 BROADCAST_ROWS = 50_000
 
 
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", spread: float = SPREAD) -> DataFrame:
-    """`docs` with `measures`, `base_failed` and `kept`.
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", spread: float = SPREAD, carry: Sequence[str] | None = None) -> DataFrame:
+    """`carry` (all columns of docs if not given) with `measures`, `base_failed` and `kept`.
 
     base_failed: under 20 words, or over 30 % of the words in repeated 8-word windows.  kept is false then,
     or where a ratio lies over `spread` deviations above the middle of the document's (language, source); the
     deviation joins the group's own with the error of a ratio over that document's words or lines.  No limit is
     fixed: a group in which most documents are odd in one way keeps them.  Null language or source
-    forms a group of its own; empty texts fail; repeated rows are judged alike; an empty table gives none.
-    Column names of docs that equal `measures`, `base_failed` or `kept` are replaced.
+    forms a group of its own; empty texts fail; very long ones are measured whole; repeated rows are judged alike;
+    an empty table gives none.  Columns of docs named `measures`, `base_failed` or `kept` are replaced; no other
+    name matters.  Texts are measured once: what is carried is checkpointed with the measures.
     """
-    with_m = measure(docs.drop("measures", "base_failed", "kept"), text_col)
-    keys = with_m.withColumns({"lang__": F.col(lang_col), "source__": F.col(source_col)})
-    limits = thresholds(keys, ["lang__", "source__"]).withColumnsRenamed({"lang__": "lang_l", "source__": "source_l"})
-    limits = cut(limits)
+    small_batches(docs)
+    names = [c for c in (docs.columns if carry is None else carry) if c not in ("measures", "base_failed", "kept")]
+    row = F.struct(*(F.col(c) for c in names)).alias("row")
+    measured = cut(docs.select(row, F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), _measures(F.col(text_col).cast("binary")).alias("measures")))
+    limits = cut(thresholds(measured.select("lang", "source", "measures"), ["lang", "source"]).withColumnsRenamed({"lang": "lang_of", "source": "source_of"}))
     if limits.count() <= BROADCAST_ROWS:  # one row a (language, source) of under 200 bytes; else a shuffled join
         limits = F.broadcast(limits)
-    judged = with_m.join(limits, F.col(lang_col).eqNullSafe(F.col("lang_l")) & F.col(source_col).eqNullSafe(F.col("source_l")), "left")
+    judged = measured.join(limits, F.col("lang").eqNullSafe(F.col("lang_of")) & F.col("source").eqNullSafe(F.col("source_of")), "left")
     m = F.col("measures")
     failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
     odd = F.lit(False)
     for r, c in _ratios(m).items():
         error = F.sqrt(F.pow(f"dev_{r}", F.lit(2.0)) + 1 / (4 * F.greatest(_trials(m)[r], F.lit(0.125))))
         odd = odd | F.coalesce(_scaled(r, c) > F.col(f"mid_{r}") + spread * error, F.lit(False))
-    return judged.select(*(F.col(c) for c in with_m.columns), failed.alias("base_failed"), (~failed & ~odd).alias("kept"))
+    return judged.select(*(F.col("row")[c].alias(c) for c in names), m.alias("measures"), failed.alias("base_failed"), (~failed & ~odd).alias("kept"))

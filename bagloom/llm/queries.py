@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, licenses, pieces, quality, scoring, secrets, simhash, substrings, suffixes, urls
-from .common import table
+from .common import checkpoint_folder, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +38,10 @@ def op5_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = secrets.find(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    ledger = secrets.Ledger(spark, f"{checkpoint_folder(spark)}/ledger-{uuid.uuid4()}")
+    ledger.update(docs)
+    got = ledger.find(docs)
     text = lambda hits: F.array_join(F.transform(hits, lambda h: F.concat_ws(":", h["kind"], h["start"], h["end"])), ",")
     count = lambda kind: F.size(F.filter("hits", lambda h: h["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("hits", lambda h: h["rank"] < 3)
@@ -44,7 +49,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = quality.judge(table(spark, sf_dir, "documents"))
+    got = quality.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return got.select("doc_id", *(F.col(f"measures.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
 
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import cut, hot_keys, join_spread
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -36,8 +38,8 @@ RULES = (
 #: A cheaper test that every text with a counted match passes; kinds not named here are tested by their pattern.
 _TRIGGER = {"hex": r"[0-9a-f]{32}", "access": r"AKIA[A-Z0-9]{12}"}
 
-LEDGER = "blob string, kind string, version int"
-FINDINGS = "blob string, kind string, version int, start int, end int"
+HITS = "array<struct<kind:string,version:int,start:int,end:int>>"
+LEDGER = f"blob string, scanned array<struct<kind:string,version:int>>, hits {HITS}"
 
 
 def blobs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,20 +60,28 @@ def _pieces(rule: Rule) -> Column:
 
 
 def scan(todo: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, kind, version, start, end) of (blob, text, kinds); kinds: those to scan, null for all.
+    """(blob, scanned, hits): one row per row of (blob, text, kinds), as the ledger keeps it.
 
-    Positions are code points, end exclusive: running sums of the gaps and matches of one blob and kind.
+    kinds: the rules to scan, null for all.  Positions are code points, end exclusive: running sums of the gaps
+    and matches of one blob and kind.
     """
-    from pyspark.sql import Window
-
     none = F.lit(None).cast("array<struct<kind:string,version:int,nth:int,gap:int,size:int,ok:boolean>>")
-    each = F.array(*(F.when(F.col("kinds").isNull() | F.array_contains("kinds", r.kind), _pieces(r)).otherwise(none) for r in rules))
-    # outer, as Spark would otherwise filter by size first and run every pattern twice
-    per_rule = todo.select("blob", F.explode_outer(each).alias("hits"))
-    rows = per_rule.where("hits is not null").select("blob", F.explode_outer("hits").alias("h")).where("h is not null").select("blob", "h.*")
-    w = Window.partitionBy("blob", "kind").orderBy("nth")
-    end = F.sum(F.col("gap") + F.col("size")).over(w).cast("int")
-    return rows.withColumn("end", end).where("ok").select("blob", "kind", "version", (F.col("end") - F.col("size")).alias("start"), "end")
+    wanted = lambda kind: F.col("kinds").isNull() | F.array_contains("kinds", kind)
+    each = F.array(*(F.when(wanted(r.kind), _pieces(r)).otherwise(none) for r in rules))
+    # outer, as Spark would otherwise filter by size first and run every pattern twice, and as blobs without a match stay
+    per_rule = todo.select("blob", "kinds", F.explode_outer(F.filter(each, lambda x: x.isNotNull())).alias("hits"))
+    rows = per_rule.select("blob", "kinds", F.explode_outer("hits").alias("h")).select("blob", "kinds", "h.*")
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("blob", "kind").orderBy("nth")).cast("int")
+    hit = F.when(F.col("ok"), F.struct("kind", "version", (F.col("end") - F.col("size")).alias("start"), "end"))
+    found = rows.withColumn("end", end).groupBy("blob").agg(F.first("kinds").alias("kinds"), F.collect_list(hit).cast(HITS).alias("hits"))
+    now = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))
+    return found.select("blob", F.filter(now, lambda r: wanted(r["kind"])).alias("scanned"), "hits")
+
+
+def merged(ledger: DataFrame) -> DataFrame:
+    """The ledger with one row a blob; what was written twice counts once."""
+    each = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    return ledger.groupBy("blob").agg(each("scanned"), each("hits"))
 
 
 def unseen(contents: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -80,76 +90,67 @@ def unseen(contents: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...
     if ledger is None:
         return once.withColumn("kinds", F.lit(None).cast("array<string>"))
     now = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))
-    done = ledger.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("done"))  # rules by versions: few
+    done = merged(ledger).select("blob", F.col("scanned").alias("done"))  # rules by versions: few
     left = F.filter(now, lambda r: ~F.coalesce(F.array_contains("done", r), F.lit(False)))
     return once.join(done, "blob", "left").select("blob", "text", F.transform(left, lambda r: r["kind"]).alias("kinds")).where(F.size("kinds") > 0)
 
 
-def spans(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, hits): findings of each blob as array of (start, rank, kind, end), by start and order of rules."""
-    rank = F.coalesce(*(F.when(F.col("kind") == r.kind, F.lit(i)) for i, r in enumerate(rules)))
-    return findings.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("hits"))
+def spans(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, hits): the current rules' findings of each blob as array of (start, rank, kind, end), by start and order of rules."""
+    rank = lambda h: F.coalesce(*(F.when((h["kind"] == r.kind) & (h["version"] == r.version), F.lit(i)) for i, r in enumerate(rules)))
+    ranked = F.transform("hits", lambda h: F.struct(h["start"].alias("start"), rank(h).alias("rank"), h["kind"].alias("kind"), h["end"].alias("end")))
+    return ledger.select("blob", F.array_sort(F.filter(ranked, lambda h: h["rank"].isNotNull())).alias("hits"))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
     """(id, blob, hits): one row per row of docs, hits empty where nothing was found.
 
-    known: (ledger, findings) of earlier runs; what they hold is not scanned again.  Null texts are empty;
-    repeated texts are scanned once; an empty table gives no row.
+    ledger: what holds the findings of every text of docs (Ledger.update saw them); without one all are scanned
+    here.  Null texts are empty; repeated texts are scanned once; very long ones whole; an empty table gives no row.
+    A text that very many rows hold is joined back in parts.
     """
     rows = blobs(docs, id_col, text_col)
-    found = scan(unseen(rows, known and known[0], rules), rules)
-    if known:
-        current = F.array(*(F.concat_ws(":", F.lit(r.kind), F.lit(r.version)) for r in rules))
-        found = found.unionByName(known[1].where(F.array_contains(current, F.concat_ws(":", "kind", "version"))))
+    known = scan(unseen(rows, None, rules), rules) if ledger is None else merged(ledger)
+    paths = cut(rows.select("id", "blob"))
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    return rows.select("id", "blob").join(spans(found, rules), "blob", "left").select("id", "blob", F.coalesce("hits", none).alias("hits"))
+    return join_spread(paths, spans(known, rules), "blob", hot_keys(paths, "blob")).select("id", "blob", F.coalesce("hits", none).alias("hits"))
 
 
 class Ledger:
-    """The ledger as two Parquet tables under one folder; update() appends what was not yet scanned."""
+    """The ledger as one Parquet table in a folder; update() appends what was not yet scanned."""
 
     def __init__(self, spark: SparkSession, path: str, rules: tuple[Rule, ...] = RULES):
         self.spark, self.path, self.rules = spark, path, rules
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        empty = self.spark.createDataFrame([], schema)
-        try:
-            return empty.unionByName(self.spark.read.schema(schema).parquet(f"{self.path}/{name}"))
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return empty
-
-    def known(self) -> tuple[DataFrame, DataFrame]:
-        return self._read("ledger", LEDGER), self._read("findings", FINDINGS)
+    def known(self) -> DataFrame:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], LEDGER)
+        return self.spark.read.schema(LEDGER).parquet(self.path)
 
     def update(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Findings are written before the ledger, so a run that dies between is scanned again, not lost.
+        """Scans the (blob, rule version) pairs that are new; a row holds a blob's findings and what was scanned.
 
-        spans() of findings written twice would repeat; known findings are therefore made distinct on reading.
+        A run that dies has added nothing or whole rows, and the next one scans the rest.
         """
-        from .common import cut
-
-        todo = cut(unseen(blobs(docs, id_col, text_col), self.known()[0], self.rules))
-        scan(todo, self.rules).write.mode("append").parquet(f"{self.path}/findings")
-        version = F.create_map(*(F.lit(x) for r in self.rules for x in (r.kind, r.version)))
-        todo.select("blob", F.explode("kinds").alias("kind")).withColumn("version", version[F.col("kind")]).write.mode("append").parquet(f"{self.path}/ledger")
+        todo = unseen(blobs(docs, id_col, text_col), self.known(), self.rules)
+        scan(todo, self.rules).write.mode("append").parquet(self.path)
 
     def find(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        ledger, findings = self.known()
-        return find(docs, id_col, text_col, self.rules, (ledger.distinct(), findings.distinct()))
+        """find() by the ledger alone; texts that update() has not seen have no findings."""
+        return find(docs, id_col, text_col, self.rules, self.known())
 
 
 def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "<secret>") -> DataFrame:
     """docs with every found span of text_col replaced by `mark`; overlapping spans become one mark.
 
-    Other columns, row order within a partition and rows without findings stay as they are.
+    Other columns, whatever their names, and rows without findings stay as they are; a null text stays null.
     """
-    keyed = docs.withColumn("blob__", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    found = spans(scan(unseen(blobs(docs, docs.columns[0], text_col), None, rules), rules), rules).select(F.col("blob").alias("blob_f"), "hits")
-    both = keyed.join(found, keyed["blob__"] == F.col("blob_f"), "left")
-    merged = F.aggregate(
+    address = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("blob")
+    keyed = docs.select(address, F.col(text_col).alias("text"), F.struct(*(F.col(c) for c in docs.columns)).alias("row"))
+    found = spans(scan(unseen(keyed.where("text is not null"), None, rules), rules), rules).where(F.size("hits") > 0)
+    both = join_spread(keyed, found, "blob", hot_keys(docs.select(address), "blob"))
+    joined = F.aggregate(
         "hits",
         F.lit(None).cast("struct<done:array<struct<s:int,e:int>>,s:int,e:int>"),
         lambda acc, h: F.when(acc.isNull(), F.struct(F.array().cast("array<struct<s:int,e:int>>").alias("done"), h["start"].alias("s"), h["end"].alias("e")))
@@ -157,10 +158,10 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
         .otherwise(F.struct(F.concat(acc["done"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e")))).alias("done"), h["start"].alias("s"), h["end"].alias("e"))),
         lambda acc: F.concat(acc["done"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e")))),
     )
-    text = F.col(text_col)
-    starts = F.concat(F.array(F.lit(0)), F.transform("cuts__", lambda c: c["e"]))
-    ends = F.concat(F.transform("cuts__", lambda c: c["s"]), F.array(F.char_length(text)))
+    text = F.col("text")
+    starts = F.concat(F.array(F.lit(0)), F.transform("cuts", lambda c: c["e"]))
+    ends = F.concat(F.transform("cuts", lambda c: c["s"]), F.array(F.char_length(text)))
     kept = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda z: F.substring(text, z["s"] + 1, z["e"] - z["s"]))
     clean = F.when(F.col("hits").isNull(), text).otherwise(F.array_join(kept, mark))
-    out = both.withColumn("cuts__", F.when(F.col("hits").isNotNull(), merged))
-    return out.select(*(clean.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    out = both.withColumn("cuts", F.when(F.col("hits").isNotNull(), joined))
+    return out.select(*(clean.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

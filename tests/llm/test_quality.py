@@ -1,4 +1,8 @@
-from collections import Counter
+import math
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
 
 from bagloom.llm import quality
 
@@ -55,5 +59,54 @@ def test_groups_tighten_and_loosen_their_limits(spark):
     assert not kept[3000] and kept[3001]
 
 
+def test_kept_matches_exact_quantiles(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(300):
+        n = r.randint(5, 120)
+        words = ["|" * r.randint(1, 3) if r.random() < r.choice([0, 0, 0.02, 0.3]) else "ab" * r.randint(1, 6) + str(r.random()) for _ in range(n)]
+        lines = [" ".join(words[j : j + 9]) for j in range(0, n, 9)]
+        lines += [r.choice(lines)] * r.choice([0, 0, 0, 1, 6])
+        rows.append((i, "\n".join(lines), r.choice(["en", "fr", None]), r.choice(["hot", "hot", "hot", "s1", None])))
+    got = {x.doc_id: x for x in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    scale = lambda k, x: math.log1p(x) if k == 3 else math.asin(math.sqrt(min(x, 1)))
+
+    def ratios(m):
+        return [m.n_symbols / m.word_chars, m.n_dup_lines / m.n_lines, m.n_repeat_words / m.n_words, m.word_chars / m.n_words]
+
+    groups = defaultdict(list)
+    for i, _, lang, source in rows:
+        for key in ((lang, source), (lang,), ()):
+            groups[key].append(ratios(got[i].measures))
+    quantile = lambda key, k, q: scale(k, float(np.quantile([x[k] for x in groups[key]], q, method="inverted_cdf")))
+    share = lambda key: min(1.0, len(groups[key]) / quality.LEAST)
+
+    def blended(lang, source, k, q):
+        own, pool = share((lang, source)), share((lang,))
+        return own * quantile((lang, source), k, q) + (1 - own) * (pool * quantile((lang,), k, q) + (1 - pool) * quantile((), k, q))
+
+    kept, close = 0, 0
+    for i, _, lang, source in rows:
+        m, over = got[i].measures, []
+        for k, (x, n) in enumerate(zip(ratios(m), (m.n_words, m.n_lines, m.n_words / quality.WINDOW, m.n_words))):
+            mid, low = blended(lang, source, k, 0.5), blended(lang, source, k, 0.25)
+            over.append(scale(k, x) - mid - quality.SPREAD * math.sqrt(((mid - low) / 0.674) ** 2 + 1 / (4 * max(n, 0.125))))
+        if any(abs(x) < 1e-9 for x in over):
+            close += 1
+            continue
+        assert got[i].kept == (not got[i].base_failed and max(over) < 0), (i, over)
+        kept += got[i].kept
+    assert 150 < kept < 290 and close < 5
+
+
+def test_names_do_not_clash(spark):
+    rows = [(i, _words(i, 60), "en", "a", 1, 2, 3, 4, 5) for i in range(30)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", lang_l int, source_of int, row int, max_repeat_ratio int, mid_long_word int")
+    got = quality.judge(docs)
+    assert got.columns == [*docs.columns, "measures", "base_failed", "kept"]
+    assert all(tuple(x)[4:9] == (1, 2, 3, 4, 5) for x in got.collect())
+    assert quality.judge(docs, carry=["doc_id"]).columns == ["doc_id", "measures", "base_failed", "kept"]
+
+
 def test_empty(nothing):
     assert quality.judge(nothing).collect() == []
