@@ -8,11 +8,11 @@ order, each at least the one before less one.
 Strings meet in shards as follows.  Every window of WINDOW bytes has an anchor, the position of the least
 GRAM-byte hash in it (the rightmost of ties), which depends on the window's bytes alone; so equal windows
 have equal anchors at equal offsets.  Windows of one text that share an anchor form a context, the run of
-bytes they cover.  Contexts are exchanged by anchor: an anchor that occurs once has no repeated window; equal
-contexts are one string with a count; contexts that share an anchor but differ go to one shard, are trimmed to
-what any two of them have in common around the anchor, and equal ones are merged again; the suffix array and
-common prefixes of the shard tell which windows of the rest repeat.  Anchors with more than CROWD different contexts (the
-rims of a passage that very many documents share) would make a shard without bound; their windows are
+bytes they cover.  Contexts are exchanged by anchor: an anchor that occurs once has no repeated window; all
+others go to one shard, equal ones as one string with a count, and different ones trimmed to what any two of
+them have in common around the anchor, after which equal ones are merged again; the suffix array and common
+prefixes of the shard tell which windows of its strings repeat.  Anchors with more than CROWD different contexts
+(the rims of a passage that very many documents share) would make a shard without bound; their windows are
 exchanged by hash, which is as exact.
 """
 
@@ -326,7 +326,7 @@ class _Contexts:
         return u, count > 1, (starts, inv)
 
 
-ALONE, EQUAL, MIXED, CROWDED = range(4)
+ALONE, SHARED, CROWDED = range(3)
 
 
 def _codes(answer: list) -> np.ndarray:
@@ -335,7 +335,7 @@ def _codes(answer: list) -> np.ndarray:
 
 def _classify(crowd: int):
     def decide(bucket, numbers, got):
-        """ALONE, EQUAL, MIXED or CROWDED for each offered context."""
+        """ALONE, SHARED or CROWDED for each offered context."""
         u, inv, parts = groups([k for k, _, _ in got])
         content = np.concatenate([c for _, c, _ in got])
         many = np.concatenate([unbits(m) for _, _, m in got])
@@ -343,7 +343,7 @@ def _classify(crowd: int):
         new = np.append(True, (inv[order][1:] != inv[order][:-1]) | (content[order][1:] != content[order][:-1]))
         kinds = np.bincount(inv[order][new], minlength=len(u))
         seen = np.bincount(inv, weights=1 + many, minlength=len(u))
-        code = np.where(kinds > crowd, CROWDED, np.where(kinds > 1, MIXED, np.where(seen > 1, EQUAL, ALONE)))[inv].astype(np.uint8)
+        code = np.where(kinds > crowd, CROWDED, np.where(seen > 1, SHARED, ALONE))[inv].astype(np.uint8)
         for n, part in zip(numbers, parts):
             yield n, dump(code[part])
 
@@ -385,23 +385,15 @@ def _shard(bucket, numbers, got):
         own = texts.pop(k)
         often = [times[k, c] > 1 for c in own]
         cuts = trimmed([t for t, _ in own.values()], [a for _, a in own.values()], often)
-        kinds: dict[bytes, int] = {}
-        for (t, _), (b, e), m in zip(own.values(), cuts, often):
-            if e - b >= WINDOW:
-                kinds[t[b:e]] = kinds.get(t[b:e], 0) + 1 + m
+        kinds = {t[b:e] for (t, _), (b, e) in zip(own.values(), cuts) if e - b >= WINDOW}
         for (c, (t, _)), (b, e), m in zip(own.items(), cuts, often):
             n = len(t) - WINDOW + 1
             if e - b < WINDOW:
                 found[k, c] = bits(np.zeros(n, bool))
-            elif len(kinds) == 1:  # one string is left: no order is needed to tell whether it repeats
-                hit = np.zeros(n, bool)
-                hit[b : e - WINDOW + 1] = kinds[t[b:e]] > 1
-                found[k, c] = bits(hit)
             else:
                 strings_.setdefault((k, t[b:e]), []).append(((k, c), b, n))
                 count[k, t[b:e]] = count.get((k, t[b:e]), 0) + 1 + m
-        if len(kinds) > 1:
-            size += sum(map(len, kinds))
+        size += sum(map(len, kinds))
         if size > SHARD:
             solve()
             size = 0
@@ -415,7 +407,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Removes each byte that lies in a WINDOW-byte string which also starts anywhere else, in another row or
     the same; strings never cross rows and are judged on the input.  Repeated rows are texts of their own and
-    so remove one another; a null text is empty; an empty table gives no row.
+    so remove one another; a null text is empty; a very long text is a pack of its own and treated whole; an
+    empty table gives no row.
     """
     packs = pack(docs, id_col, text_col)
     size = total_bytes(packs)
@@ -430,10 +423,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def contexts(p: Pack, answer):
         c, codes = _Contexts(p), _codes(answer)
-        mixed = np.flatnonzero(codes == MIXED)
+        shared = np.flatnonzero(codes == SHARED)
         out = []
-        for b, lo, hi in dealt(c.keys[mixed], many):
-            part = mixed[lo:hi]
+        for b, lo, hi in dealt(c.keys[shared], many):
+            part = shared[lo:hi]
             out.append((b, dump(c.keys[part], c.contents[part], bits(c.many[part]), c.offset[c.one[part]], [c.bytes_of(k) for k in part])))
         u, again, _ = c.window_hashes(codes)
         return out + [(b - many, dump(u[lo:hi], bits(again[lo:hi]))) for b, lo, hi in dealt(u, many)]
@@ -445,14 +438,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         hit = np.zeros(len(c.buf), bool)
         crowded = [x[0] for x in solved if isinstance(x[0], tuple)]
         hits = [h for x in solved if isinstance(x[0], list) for h in x[0]]
-        flags: dict[int, np.ndarray] = dict(zip(np.flatnonzero(codes == MIXED).tolist(), map(unbits, hits)))
+        flags: dict[int, np.ndarray] = dict(zip(np.flatnonzero(codes == SHARED).tolist(), map(unbits, hits)))
         u, _, (starts, inv) = c.window_hashes(codes)
         if len(u):
             hit[starts] = np.concatenate([unbits(x) for x in crowded])[inv]
         code = codes[c.which] if len(c.which) else codes
-        for i in np.flatnonzero(code == EQUAL).tolist():
-            hit[c.first[i] : c.last[i] + 1] = True
-        for i in np.flatnonzero(code == MIXED).tolist():
+        for i in np.flatnonzero(code == SHARED).tolist():
             hit[c.first[i] : c.last[i] + 1] = flags[int(c.which[i])]
         off, n = p.texts.off, len(c.buf)
         gone = covered(np.flatnonzero(hit), WINDOW, n)
