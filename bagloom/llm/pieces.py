@@ -3,9 +3,14 @@
 The best segmentation is the one whose pieces have the largest total score (Viterbi over the model's
 vocabulary).  A document of up to CHUNK characters is solved at once; its words are independent, as no
 piece continues behind a word's start, so each distinct short word is solved once and kept.  A larger document
-is cut into chunks at any place.  A chunk's transfer matrix T has T[i][j], the best score from i characters
-before its start to j characters before its end; matrices combine associatively under (max, +), which
-yields the boundary states of the best path, and every chunk is then traced back on its own between them.
+is cut into chunks, each at the last place in its reach that no piece crosses, else anywhere.  A chunk's
+transfer matrix T has T[i][j], the best score from i characters before its start to j characters before its
+end.  Matrices combine associatively under (max, +): FAN neighbours at a time become one, on many tasks, level
+by level, until a document has at most FAN.  The states at their borders follow from these, then level by
+level those at the borders inside, and every chunk is traced back on its own between its two states.
+
+Ties: of equal segmentations that with the longer last pieces counts; at a border inside a run that pieces
+cross, the one whose last piece ends nearest to it.  Cut where no piece crosses, chunks give the ids of the whole.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from __future__ import annotations
 import gc
 import re
 from array import array
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import ahocorasick
 import numpy as np
@@ -27,6 +32,10 @@ from .common import cut
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk; longer texts are split.
 CHUNK = 50_000
+#: Characters before a chunk's planned end among which a better place to cut is looked for.
+REACH = 4096
+#: Matrices that are combined at a time.
+FAN = 32
 #: How the model file writes a space; inside, pieces have the space itself, so a literal mark is just an unknown character.
 SPACE = "▁"
 #: Distinct words whose segmentation is kept by a worker in each of two generations, and the most characters of such a word.
@@ -280,12 +289,12 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a[:, :, None] + b[None, :, :]).max(axis=1), LOW)
 
 
-def boundaries(matrices: list[np.ndarray]) -> list[int]:
-    """The state at each chunk's start and at the end, on a best path from state 0 to state 0."""
-    reach = [np.where(np.arange(matrices[0].shape[0]) == 0, 0.0, LOW)]
+def boundaries(matrices: list[np.ndarray], enter: int = 0, leave: int = 0) -> list[int]:
+    """The state at each chunk's start and at the end, on a best path from state `enter` to state `leave`."""
+    reach = [np.where(np.arange(matrices[0].shape[0]) == enter, 0.0, LOW)]
     for m in matrices:
         reach.append(np.maximum((reach[-1][:, None] + m).max(axis=0), LOW))
-    states = [0]
+    states = [leave]
     for m, r in zip(matrices[::-1], reach[-2::-1]):
         states.append(int(np.argmax(r + m[:, states[-1]])))
     return states[::-1]
@@ -312,9 +321,10 @@ class Pieces:
             self.sent, self.chunk = spark.sparkContext.broadcast(f.read()), chunk
 
     def encode(self, docs: DataFrame, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-        """docs with an array<int> column; null and empty texts give an empty array.
+        """docs with an array<int> column; null and empty texts give an empty array, an empty table no row.
 
-        Rows keep all columns; one of the name ids_col is replaced.  Repeated rows are encoded alike.
+        Rows keep all columns, whatever their names; one of the name ids_col is replaced.  Repeated rows are
+        encoded alike.  A text of over CHUNK characters is solved in parts on many tasks; its ids become one row.
         """
         sent, chunk = self.sent, self.chunk
 
@@ -325,11 +335,12 @@ class Pieces:
 
         # long texts are few: read once, kept apart, and joined by content; the others pass by
         flag = F.coalesce(F.char_length(text_col) > chunk, F.lit(False))
-        hard = cut(docs.where(flag).drop(ids_col).withColumn("key__", F.sha2(text_col, 256)))
-        giant = self._giants(hard.select(F.col("key__").alias("key"), F.col(text_col).alias("text")))
-        plain = docs.where(~flag).withColumn(ids_col, short(F.col(text_col)))
-        solved = hard.join(giant, hard["key__"] == giant["key"]).select(*(F.col(c) for c in docs.columns if c != ids_col), giant["ids"].alias(ids_col))
-        return plain.select(*solved.columns).unionByName(solved)
+        names = [c for c in docs.columns if c != ids_col]
+        hard = cut(docs.where(flag).select(F.sha2(text_col, 256).alias("key"), F.col(text_col).alias("text"), F.struct(*names).alias("row")))
+        giant = self._giants(hard.select("key", "text"))
+        plain = docs.where(~flag).select(*names, short(F.col(text_col)).alias(ids_col))
+        solved = hard.select("key", "row").join(giant, "key").select(*(F.col("row")[c].alias(c) for c in names), F.col("ids").alias(ids_col))
+        return plain.unionByName(solved)
 
     def _giants(self, texts: DataFrame) -> DataFrame:
         """(key, ids) of the distinct texts of (key, text), each by chunks on many tasks."""
@@ -340,10 +351,11 @@ class Pieces:
             back = m.longest - 1
             for b in batches:
                 for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    s = m.prepare(text)
-                    at = list(range(0, len(s), chunk))
-                    if len(at) > 1 and len(s) - at[-1] < m.longest:  # no chunk is shorter than a piece
-                        at.pop()
+                    s, at = m.prepare(text), [0]
+                    while len(s) - at[-1] > chunk + m.longest:  # no chunk is shorter than a piece
+                        end = at[-1] + chunk
+                        _, last = m.parting(s[max(at[-1] + m.longest, end - REACH) - 1 : end + 1], 1)
+                        at.append(end if last < 0 else max(at[-1] + m.longest, end - REACH) - 1 + last)
                     for k, i in enumerate(at):
                         end = at[k + 1] if k + 1 < len(at) else len(s)
                         left = min(i, back)
@@ -354,10 +366,17 @@ class Pieces:
             m = _model(sent.value)
             return pa.array([m.matrix(s.as_py(), n.as_py(), e.as_py()).tobytes() for s, n, e in zip(body, left, ends)], pa.binary())
 
+        def unpacked(group: pa.Table) -> tuple[pa.Table, list[np.ndarray]]:
+            group, size = group.sort_by("k"), _model(sent.value).longest
+            return group, [np.frombuffer(x, np.float64).reshape(size, size) for x in group.column("m").to_pylist()]
+
+        def product(group: pa.Table) -> pa.Table:
+            group, ms = unpacked(group)
+            return pa.table({"key": group.column("key")[:1], "k": pa.array([group.column("k")[0].as_py() // FAN], pa.int32()), "m": pa.array([reduce(combine, ms).tobytes()], pa.binary())})
+
         def states(group: pa.Table) -> pa.Table:
-            group = group.sort_by("k")
-            size = _model(sent.value).longest
-            found = boundaries([np.frombuffer(x, np.float64).reshape(size, size) for x in group.column("m").to_pylist()])
+            group, ms = unpacked(group)
+            found = boundaries(ms, group.column("enter")[0].as_py(), group.column("leave")[0].as_py())
             return pa.table({"key": group.column("key"), "k": group.column("k"), "enter": pa.array(found[:-1], pa.int32()), "leave": pa.array(found[1:], pa.int32())})
 
         @F.arrow_udf("array<int>")
@@ -370,9 +389,17 @@ class Pieces:
 
         keyed = texts.dropDuplicates(["key"])
         chunks = cut(keyed.mapInArrow(split, "key string, k int, left int, ends boolean, body string").repartition("key", "k"))
-        matrices = chunks.select("key", "k", transfer("body", "left", "ends").alias("m"))
-        found = matrices.groupBy("key").applyInArrow(states, "key string, k int, enter int, leave int")
-        parts = chunks.join(found, ["key", "k"]).select("key", "k", trace("body", "left", "enter", "leave").alias("part"))
+        levels = [cut(chunks.select("key", "k", transfer("body", "left", "ends").alias("m")))]
+        most = (chunks.agg(F.max("k")).first()[0] or 0) + 1  # one number
+        while most > FAN:
+            levels.append(cut(levels[-1].groupBy("key", F.floor(F.col("k") / FAN)).applyInArrow(product, "key string, k int, m binary")))
+            most = -(-most // FAN)
+        found = levels[-1].select("key", F.floor(F.col("k") / FAN).cast("int").alias("up")).distinct().select("key", "up", F.lit(0).alias("enter"), F.lit(0).alias("leave"))
+        for level in levels[::-1]:
+            inner = level.withColumn("up", F.floor(F.col("k") / FAN).cast("int")).join(found, ["key", "up"])
+            solved = inner.groupBy("key", "up").applyInArrow(states, "key string, k int, enter int, leave int")
+            found = solved.select("key", F.col("k").alias("up"), "enter", "leave")
+        parts = chunks.join(found.withColumnRenamed("up", "k"), ["key", "k"]).select("key", "k", trace("body", "left", "enter", "leave").alias("part"))
         return parts.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda x: x["part"])).alias("ids"))
 
     def decode(self, encoded: DataFrame, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

@@ -78,6 +78,26 @@ def test_round_trip_and_giants(spark, docs, rows):
         assert m.score(np.array(r.ids, int)) == m.score(np.array(one.ids, int))
 
 
+@pytest.mark.parametrize("fan", [2, 32])
+def test_chunks_give_the_ids_of_the_whole(spark, model, monkeypatch, fan):
+    """Cut at places that no piece crosses, over several levels of combination, with names that could clash."""
+    monkeypatch.setattr(pieces, "FAN", fan)
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choice("etaoinshrdé,.") for _ in range(r.randint(1, 9))) for _ in range(900)) for _ in range(3)]
+    run = "ing" * 900  # no place to cut
+    rows = [(i, t, "k", "kk", i) for i, t in enumerate([*texts, texts[0], run, "short", None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, key__ string, row long")
+    got = {x.doc_id: x for x in pieces.Pieces(spark, chunk=250).encode(df).collect()}
+    assert len(got) == len(rows)
+    for i, t, *rest in rows:
+        assert tuple(got[i])[2:5] == tuple(rest)
+        whole = np.frombuffer(model.encode(t), np.int32).tolist() if t else []
+        if t == run:
+            assert model.score(np.array(got[i].ids)) == model.score(np.array(whole)) and model.decode(got[i].ids) == t
+        else:
+            assert got[i].ids == whole
+
+
 def test_column_decoding_and_split_words(model):
     import pyarrow as pa
 
