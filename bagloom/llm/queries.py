@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, licenses, pieces, quality, scoring, secrets, simhash, substrings, suffixes, urls
-from .common import checkpoint_folder, table
+from .common import checkpoint_folder, cut, hot_keys, join_spread, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +17,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no path; that of a corpus on disk stands for it: source, language, number."""
-    docs = table(spark, sf_dir, "documents").withColumn("path__", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
-    return licenses.detect(docs, "doc_id", "path__").withColumnRenamed("id", "doc_id")
+    """Documents have no path; one as in a corpus on disk stands for it: source, language, folders of numbers.
+
+    A document that bears a notice stands as a licence file of its folder, LICENSE-<number>; the others inherit.
+    """
+    docs = table(spark, sf_dir, "documents")
+    own = cut(licenses.notices(docs))
+    rows = cut(docs.select("doc_id", "source", "lang", F.coalesce(F.sha2("text", 256), F.lit("")).alias("blob")))
+    rows = join_spread(rows, own.select("blob", "license"), "blob", hot_keys(rows, "blob"))
+    number = F.col("doc_id").cast("string")
+    name = F.when(F.col("license").isNotNull(), F.concat(F.lit("LICENSE-"), number)).otherwise(F.concat(number, F.lit(".txt")))
+    files = rows.select("doc_id", "blob", F.concat_ws("/", "source", "lang", F.expr("cast(doc_id div 64 as string)"), name).alias("path"))
+    return licenses.assign(files.select(F.col("doc_id").alias("id"), "path", "blob"), own).withColumnRenamed("id", "doc_id")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,5 +53,33 @@ def test_scores_match_brute_force(spark):
             assert abs(got[t][1] - want[1]) < 2e-6
 
 
+def test_the_gate_loses_nothing():
+    """Any text that reaches the limit passes; a made-up word mix decides both ways."""
+    import random
+
+    r, gate = random.Random(1), licenses.Gate(licenses.TEMPLATES, licenses.LEAST)
+    words = sorted({w for _, t in licenses.TEMPLATES for w in TERM.findall(t.lower())})
+    hits = 0
+    for _ in range(4000):
+        own = TERM.findall(r.choice(licenses.TEMPLATES)[1].lower())
+        text = " ".join([*r.sample(own, r.randint(1, len(own))), *r.choices(words, k=r.randint(0, 4)), *r.choices(["fish", "seas", "x"], k=r.randint(0, 5))])
+        if brute(text):
+            hits += 1
+            assert gate.passes(set(TERM.findall(text)))
+    assert 500 < hits < 3900 and not gate.passes({"the", "license", "of"})
+
+
+def test_whole_licence_texts(spark):
+    grant = [t for n, t in licenses.TEMPLATES if n == "MIT" and "sell copies" in t][0]
+    words = grant.split()
+    wrapped = "\n".join(" ".join(words[i : i + 11]) for i in range(0, len(words), 11))
+    mit = f"MIT License\n\nCopyright (c) 2020 Some One\n\n{wrapped}\n\nThe above copyright notice and this permission notice shall be included in all copies.\n"
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n"
+    prose = ("fish swim about in many seas and lakes " * 30 + "\n") * 20
+    rows = [(1, "a/LICENSE", mit), (2, "b/COPYING", gpl), (3, "a/x.py", prose), (4, "b/c/y.py", prose + "// SPDX-License-Identifier: Apache-2.0\n" + prose), (5, "b/c/z.py", ""), (6, "d/z.py", "Licensed under CC BY-NC 4.0."), (1, "a/LICENSE", mit), (None, None, mit)]
+    got = sorted(((x.id, x.license, x.origin) for x in licenses.detect(spark.createDataFrame(rows, "id long, path string, text string"), "id", "path").collect()), key=str)
+    assert got == sorted([(1, "MIT", "file"), (1, "MIT", "file"), (2, "GPL-3.0", "file"), (3, "MIT", "inherited"), (4, "Apache-2.0", "header"), (5, "GPL-3.0", "inherited"), (6, "CC-BY-NC-4.0", "header"), (None, "MIT", "header")], key=str)
+
+
 def test_empty(nothing):
     assert licenses.detect(nothing, "doc_id", "source").collect() == []
