@@ -2,8 +2,7 @@
 
 A notice is a line or a paragraph that is close to a template: both become sparse TF-IDF vectors, compared over
 shared terms only.  Long licence texts are recognised by their own paragraphs.  All lines and paragraphs are
-looked at: one is passed by only where the terms that it shares with each template hold too little of the
-template's squared weight for the cosine to reach the limit (Cauchy's inequality), which loses nothing.  A row
+looked at; those without a word that any template needs are passed by, which loses nothing.  A row
 without a licence of its own takes that of the nearest directory above it that holds a licence file.
 """
 
@@ -69,40 +68,65 @@ TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 _TERM = re.compile(TERM)
 
 
+#: English words too common to single out a line, the most common first.
+COMMON = ("the", "of", "and", "to", "in", "a", "is", "that", "it", "be", "as", "for", "with", "by", "this", "are", "at", "from", "or", "on", "an", "not", "all", "any", "use", "may", "you", "no", "its", "which", "other")
+
+
 class Gate:
-    """Which lines and paragraphs can reach a cosine of `least` with a template at all."""
+    """Which lines and paragraphs reach a cosine of `least` with a template, by the same weights as match().
+
+    A unit without a strong term is passed by at once: the terms that are not strong hold under least ** 2 of each
+    template's squared weight, so no vector made of these reaches the limit.
+    """
 
     def __init__(self, templates, least: float):
         n, counts = len(templates), [Counter(_TERM.findall(t.lower())) for _, t in templates]
         df = Counter(t for c in counts for t in c)
-        self.least = least * least - 1e-9
-        self.mass: dict[str, list[tuple[int, float]]] = {}
+        self.least, self.rare = least - 1e-6, math.log(n + 1) + 1
+        self.idf = {t: math.log((n + 1) / (x + 1)) + 1 for t, x in df.items()}
+        self.sides: dict[str, list[tuple[int, float]]] = {}
         self.strong: set[str] = set()
         for k, c in enumerate(counts):
-            w = {t: ((1 + math.log(x)) * (math.log((n + 1) / (df[t] + 1)) + 1)) ** 2 for t, x in c.items()}
-            total, rest = sum(w.values()), 1.0
-            for t in sorted(w, key=lambda t: -w[t]):
-                self.mass.setdefault(t, []).append((k, w[t] / total))
-                # without any of the strong terms, what is left of a template is too little
-                if rest >= self.least:
+            w = {t: (1 + math.log(x)) * self.idf[t] for t, x in c.items()}
+            norm = math.sqrt(sum(x * x for x in w.values()))
+            weak, mass = set(), 0.0
+            for t in COMMON:
+                mass += (w.get(t, 0.0) / norm) ** 2
+                if mass >= least * least - 1e-9:
+                    break
+                weak.add(t)
+            for t, x in w.items():
+                self.sides.setdefault(t, []).append((k, x / norm))
+                if t not in weak:
                     self.strong.add(t)
-                rest -= w[t] / total
 
-    def passes(self, terms: set[str]) -> bool:
-        if terms.isdisjoint(self.strong):
+    def passes(self, terms: list[str]) -> bool:
+        if self.strong.isdisjoint(terms):
             return False
-        got: dict[int, float] = {}
-        for t in terms:
-            for k, m in self.mass.get(t, ()):
-                got[k] = got.get(k, 0.0) + m
-        return max(got.values(), default=0.0) >= self.least
+        dots: dict[int, float] = {}
+        square = 0.0
+        for t, x in Counter(terms).items():
+            w = (1 + math.log(x)) * self.idf.get(t, self.rare)
+            square += w * w
+            for k, side in self.sides.get(t, ()):
+                dots[k] = dots.get(k, 0.0) + w * side
+        return max(dots.values(), default=0.0) >= self.least * math.sqrt(square)
 
     def units(self, text: str) -> list[str]:
         """Distinct lines and paragraphs of a text that pass, stripped; wrapped lines are joined by spaces."""
-        if set(_TERM.findall(text.lower())).isdisjoint(self.strong):
-            return []
-        units = dict.fromkeys(" ".join(u.split()) for u in [*text.split("\n"), *re.split(r"\n[^\S\n]*\n", text)])
-        return [u for u in units if u and self.passes(set(_TERM.findall(u.lower())))]
+        found, block, terms = {}, [], []
+        for line in [*text.split("\n"), ""]:
+            if line.strip():
+                own = _TERM.findall(line.lower())
+                block.append(line)
+                terms += own
+                if self.passes(own):
+                    found[" ".join(line.split())] = None
+            elif block:
+                if len(block) > 1 and self.passes(terms):
+                    found[" ".join(" ".join(block).split())] = None
+                block, terms = [], []
+        return list(found)
 
 
 def _terms(text: Column) -> Column:

@@ -130,11 +130,9 @@ def thresholds(measured: DataFrame, by: Sequence[str], k: int = 400) -> DataFram
     own = sketch.select(*by, *quantiles("own_"))
     pool = merged(sketch.groupBy(F.col(by[0]).alias("pool__")))
     pool = pool.select("pool__", *quantiles("pool_"))
-    whole = merged(sketch.groupBy())
-    whole = whole.select(*quantiles("all_"))
-    # languages and one row: far fewer than groups
-    both = own.join(F.broadcast(pool), F.col(by[0]).eqNullSafe(F.col("pool__"))).crossJoin(F.broadcast(whole))
-    at = lambda h, r: blend("own_", h, r, blend("pool_", h, r, F.col(f"all_{h}{r}")))
+    whole = merged(sketch.groupBy()).where("n > 0").select(*quantiles("all_")).first()  # one row of eight numbers, none of an empty table
+    both = own.join(pool, F.col(by[0]).eqNullSafe(F.col("pool__")))
+    at = lambda h, r: blend("own_", h, r, blend("pool_", h, r, F.lit(whole[f"all_{h}{r}"] if whole else 0.0)))
     return both.select(*by, *(c for r in ratios for c in (at("mid_", r).alias(f"mid_{r}"), ((at("mid_", r) - at("lo_", r)) / 0.674).alias(f"dev_{r}"))))
 
 
