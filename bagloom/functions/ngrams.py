@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import options
 
+PAIRS = T.ArrayType(T.StructType([T.StructField("code", T.LongType()), T.StructField("cnt", T.LongType())]))
+
 
 def byte_values(text: Column) -> Column:
     """UTF-8 bytes of a string as array<bigint>."""
@@ -40,11 +47,80 @@ def string_codes(text: Column, n: int = 3, b: int = 256, m: int | None = 2053) -
     return codes(byte_values(text), n, b, m)
 
 
+@dataclass(frozen=True)
+class NGrams:
+    """Parameters of hashed n-grams of a text column; columns are put together only with equal ones."""
+
+    n: int = 3
+    b: int = 256
+    m: int = 2053
+
+    def codes(self, text: Column) -> Column:
+        return string_codes(text, self.n, self.b, self.m)
+
+    def match(self, *others: "NGrams") -> "NGrams":
+        for o in others:
+            if o != self:
+                raise ValueError(f"n-grams of {self} and {o} cannot be put together")
+        return self
+
+
 def histogram(df: DataFrame, key: str, codes_col: Column) -> DataFrame:
     """(key, code, cnt): the sparse n-gram matrix, duplicates summed."""
     return df.select(key, F.explode(codes_col).alias("code")).groupBy(key, "code").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+#: Cells of the count table that a batch of rows is counted in at a time.
+CELLS = 1 << 22
+
+
+def _counted(column: pa.Array, g: NGrams, start: int, end: int) -> pa.Array:
+    """For each text the distinct codes and how often they occur, by code, over byte buffers."""
+    column = column.cast(pa.large_binary())
+    rows, valid = len(column), np.asarray(column.is_valid())
+    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + rows + 1]
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    codes, counts, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(rows, np.int64)
+    pad, i = g.n - 1, 0
+    while i < rows:
+        # as many rows as the table holds, and about as many bytes
+        j = min(rows, i + max(1, CELLS // g.m), max(i + 1, int(np.searchsorted(off, off[i] + CELLS, "right")) - 1))
+        size = np.where(valid[i:j], np.diff(off[i : j + 1]), 0)
+        begin = np.concatenate(([0], np.cumsum(size + 2 * pad)))
+        text = np.full(begin[-1], end, np.int64)
+        for k in range(pad):
+            text[begin[:-1] + k] = start
+        text[np.arange(size.sum()) + np.repeat(begin[:-1] + pad - (np.cumsum(size) - size), size)] = raw[off[i] : off[i] + size.sum()]
+        grams = np.where(valid[i:j], size + pad, 0)
+        row = np.repeat(np.arange(j - i), grams)
+        at = np.arange(grams.sum()) + np.repeat(begin[:-1] - (np.cumsum(grams) - grams), grams)
+        code = np.zeros(len(at), np.int64)
+        for k in range(g.n):
+            code = (code * g.b + text[at + k]) % g.m
+        table = np.bincount(row * g.m + code, minlength=0)
+        cell = np.flatnonzero(table)
+        codes.append(cell % g.m)
+        counts.append(table[cell])
+        sizes[i:j] = np.bincount(cell // g.m, minlength=j - i)
+        i = j
+    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(codes)), pa.array(np.concatenate(counts).astype(np.int64))], names=["code", "cnt"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pairs)
+
+
+def text_histogram(df: DataFrame, key: str, text: str, grams: NGrams = NGrams()) -> DataFrame:
+    """histogram() of a text column, one row a key: counted within the row over byte buffers, without a shuffle.
+
+    Measured at many times the speed of array expressions, which are interpreted; hence the Arrow batches.
+    """
+    start, end = options.get("string_start_code"), options.get("string_end_code")
+
+    @F.arrow_udf(PAIRS)
+    def count(column: pa.Array) -> pa.Array:
+        return _counted(column, grams, start, end)
+
+    return df.select(key, F.inline(count(F.col(text).cast("binary"))))
+
+
 def project(hist: DataFrame, key: str, weights: DataFrame, dims: int) -> DataFrame:
     """(key, y0..): the product of a weight table (code, w0..) with n-gram counts; a lookup and a sum.
 

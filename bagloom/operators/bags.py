@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -43,7 +43,8 @@ def aligned_from_ids(rows: DataFrame, pos: str, k: str) -> DataFrame:
     """
     found = rows.groupBy(F.col(k).cast("bigint").alias("bag")).agg(F.min(pos).cast("bigint").alias("start"), F.max(pos).cast("bigint").alias("__end"), F.count(F.lit(1)).alias("len"))
     ok = F.when(F.col("start").isNull(), F.lit(0)).when(F.col("__end") - F.col("start") + 1 == F.col("len"), F.col("len")).otherwise(F.raise_error(F.lit("ids are not contiguous")).cast("bigint"))
-    every = rows.agg(F.max(k).alias("n")).select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n").cast("bigint"))).alias("bag"))
+    most = rows.agg(F.max(k)).first()[0] or 0  # one number
+    every = rows.sparkSession.range(1, int(most) + 1).select(F.col("id").alias("bag"))
     return every.join(found, "bag", "left").select("bag", F.coalesce("start", F.lit(0)).cast("bigint").alias("start"), ok.cast("bigint").alias("len"))
 
 
@@ -55,9 +56,36 @@ def scattered_from_ids(rows: DataFrame, pos: str, k: str) -> DataFrame:
 
 
 def is_aligned(rows: DataFrame, pos: str, k: str) -> bool:
-    """Whether no id falls as positions rise, by the extent of each id: ranges that do not overlap."""
-    ext = rows.groupBy(k).agg(F.min(pos).alias("a"), F.max(pos).alias("b"))
-    return ext.withColumn("__before", F.lag("b").over(Window.orderBy(k))).where("__before > a").isEmpty()
+    """Whether no id falls as positions rise, by the extent of each id: ranges that do not overlap.
+
+    Ids are range-partitioned; within a part each meets the one before it, and parts meet by their ends.
+    """
+    ext = rows.groupBy(F.col(k).alias("k")).agg(F.min(pos).alias("a"), F.max(pos).alias("b"))
+    parts = cut(ext.repartitionByRange("k").withColumn("__part", F.spark_partition_id()))
+    inner = parts.withColumn("__before", F.lag("b").over(Window.partitionBy("__part").orderBy("k"))).where("__before > a")
+    if not inner.isEmpty():
+        return False
+    ends = parts.groupBy("__part").agg(F.min("k").alias("k"), F.min_by("a", "k").alias("a"), F.max_by("b", "k").alias("b"))  # a row a part
+    return ends.withColumn("__before", F.lag("b").over(Window.orderBy("k"))).where("__before > a").isEmpty()
+
+
+def aligned(spark: SparkSession, ranges: Sequence[tuple[int, int]]) -> DataFrame:
+    """(bag, start, len) from first and last positions; an empty bag is (0, -1)."""
+    rows = [(i, a if b >= a else 0, max(0, b - a + 1)) for i, (a, b) in enumerate(ranges, 1)]
+    return spark.createDataFrame(rows, "bag bigint, start bigint, len bigint")
+
+
+def scattered(spark: SparkSession, members: Sequence[Sequence[int]]) -> DataFrame:
+    """(bag, pos, inst) from lists of instances; a bag may be empty and then has no row."""
+    return spark.createDataFrame([(i, p, x) for i, own in enumerate(members, 1) for p, x in enumerate(own, 1)], "bag bigint, pos int, inst bigint")
+
+
+def over_members(members: DataFrame, instances: DataFrame, inst: str, cols: Sequence[str], how, bags: DataFrame | None = None) -> DataFrame:
+    """Aggregation over scattered bags: instances shared by several bags count in each; (bag, inst) pairs join them."""
+    from .aggregations import aggregate
+
+    own = members.join(instances.select(F.col(inst).alias("inst"), *cols), "inst")
+    return aggregate(members.select("bag").distinct() if bags is None else bags, own, "bag", cols, how)
 
 
 def bags(rows: DataFrame, pos: str, k: str) -> DataFrame:

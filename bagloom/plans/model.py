@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.affine import Dense
 from ..operators.aggregations import Aggregation, Stack, aggregate
-from .nodes import Bag, Lazy, Leaf, Node, Product
+from ..functions import affine, categorical, ngrams
+from .nodes import Bag, Hot, Lazy, Leaf, Node, Product, Strings, catobs
 
 
 def _apply(df: DataFrame, key: str, cols: list[str], layer: Dense | None, carry: list[str] = ()) -> DataFrame:
@@ -28,8 +29,9 @@ class Model:
         """(key, carry..., y0...) of the node; carry: columns of its own level that pass through."""
         raise NotImplementedError
 
-    def __call__(self, node: Node) -> DataFrame:
-        return self.plan(node)
+    def __call__(self, node: Node | list[Node]) -> DataFrame:
+        """The plan of a node; of several nodes, that of all their observations."""
+        return self.plan(catobs(*node) if isinstance(node, list | tuple) else node)
 
 
 @dataclass
@@ -66,6 +68,15 @@ class ProductModel(Model):
     parts: dict[str, Model]
     outer: Dense | None = None
 
+    def keys(self) -> list[str]:
+        return list(self.parts)
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.parts
+
+    def __getitem__(self, name: str) -> Model:
+        return self.parts[name]
+
     def plan(self, node: Product, carry=()):
         lacking = set(self.parts) - set(node.parts)
         if lacking:
@@ -99,3 +110,38 @@ class FunctionModel(Model):
 
     def plan(self, node: Leaf, carry=()):
         return node.df.select(node.key, *carry, *(c.cast("double").alias(f"y{i}") for i, c in enumerate(self.features(node.df))))
+
+
+@dataclass
+class HotModel(Model):
+    """A linear map of a nullable one-hot column: the weights' column at the index, psi where the value is null."""
+
+    w: list
+    psi: list
+    b: list | None = None
+
+    def plan(self, node: Hot, carry=()):
+        if len(self.w[0]) != len(node.labels):
+            raise ValueError(f"{len(self.w[0])} weights for {len(node.labels)} labels")
+        index = categorical.maybe_hot(F.col(node.cols[0]), node.labels)
+        ys = affine.postimpute(categorical.lookup(index, self.w), F.col(node.cols[0]).isNull(), self.psi)
+        return node.df.select(node.key, *carry, *((y + F.lit(float(b))).alias(f"y{i}") for i, (y, b) in enumerate(zip(ys, self.b or [0.0] * len(ys)))))
+
+
+@dataclass
+class NGramModel(Model):
+    """A linear map of n-gram counts, psi where the text is null; weights(spark, m) gives (code, w0...)."""
+
+    weights: Callable
+    width: int
+    psi: list | None = None
+    b: list | None = None
+
+    def plan(self, node: Strings, carry=()):
+        hist = ngrams.text_histogram(node.df, node.key, node.cols[0], node.grams)
+        y = ngrams.project(hist, node.key, self.weights(node.df.sparkSession, node.grams.m), self.width)
+        out = node.df.select(node.key, *carry, F.col(node.cols[0]).alias("__text")).join(y.withColumnRenamed(node.key, "__key"), F.col(node.key) == F.col("__key"), "left")
+        ys = [F.col(f"y{i}") for i in range(self.width)]
+        if self.psi is not None:
+            ys = affine.postimpute(ys, F.col("__text").isNull(), self.psi)
+        return out.select(node.key, *carry, *((y + F.lit(float(b))).alias(f"y{i}") for i, (y, b) in enumerate(zip(ys, self.b or [0.0] * self.width))))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from ..functions.affine import Dense
 from ..operators.aggregations import Max, Mean, Stack, stack
-from .model import ArrayModel, BagModel, LazyModel, Model, ProductModel
-from .nodes import Bag, Lazy, Leaf, Node, Product
+from .model import ArrayModel, BagModel, HotModel, LazyModel, Model, NGramModel, ProductModel
+from .nodes import Bag, Hot, Lazy, Leaf, Node, Product, Strings
 
 
 def weights(rows: int, cols: int, seed: int = 0) -> list[list[float]]:
@@ -20,6 +20,18 @@ def dense(d: int, out: int = 10, imputing: bool = False) -> Dense:
     return Dense(weights(out, d), [0.0] * out, psi_pre=[0.0] * d if imputing else None)
 
 
+def code_weights(rows: int) -> Callable:
+    """The same rule as weights(), as a table over n-gram codes; made where it is joined, not on the driver."""
+
+    def table(spark, m: int):
+        from pyspark.sql import functions as F
+
+        entry = lambda i: F.sin(F.lit((i + 1) * 12.9898) + (F.col("id") + 1) * 78.233) / math.sqrt(m)
+        return spark.range(m).select(F.col("id").alias("code"), *(entry(i).alias(f"w{i}") for i in range(rows)))
+
+    return table
+
+
 def reflect(node: Node, layer: Callable[..., Dense] = dense, how: Callable[[], Stack] = lambda: stack(Mean(), Max(), count=True), layers: dict | None = None, aggregations: dict | None = None, single_key_identity: bool = True, single_scalar_identity: bool = True, all_imputing: bool = False) -> tuple[Model, int]:
     """(model, output width).  layers and aggregations override by traversal code; nullable leaves impute."""
     from .traverse import codes
@@ -32,6 +44,13 @@ def reflect(node: Node, layer: Callable[..., Dense] = dense, how: Callable[[], S
         return got, got.width
 
     def walk(n: Node) -> tuple[Model, int]:
+        if isinstance(n, Hot):  # always imputes afterwards
+            got, width = final(n, len(n.labels))
+            return HotModel([list(r) for r in got.w], [0.0] * width, got.b), width
+        if isinstance(n, Strings):
+            width = layer(1).width
+            nullable = all_imputing or n.df.schema[n.cols[0]].nullable
+            return NGramModel(code_weights(width), width, [0.0] * width if nullable else None), width
         if isinstance(n, Leaf):
             if len(n.cols) == 1 and single_scalar_identity and named[id(n)] not in (layers or {}):
                 return ArrayModel(), 1

@@ -20,8 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Eager checkpoint in the folder of spark.checkpoint.dir; one of our own only where none is set."""
+    """Eager checkpoint in the folder of spark.checkpoint.dir; one of our own only where it is unset, on one machine."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bagloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="bagloom-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -90,3 +90,58 @@ def test_trees(bags, spark):
     assert both.numobs().first()[0] == 8 and both.child.numobs().first()[0] == 12
     with pytest.raises(ValueError):
         N.catobs(bag, leaf)
+
+
+def test_banded_aggregations_do_not_overflow(spark):
+    inst = spark.createDataFrame([(1, 5000.0), (1, 4999.0), (1, -9000.0), (2, -3.0), (2, -3.0), (3, 1e200), (3, 0.0)], "bag int, x double")
+    got = rows(A.aggregate(spark.createDataFrame([(1,), (2,), (3,)], "bag int"), inst, "bag", ["x"], A.stack(A.LSE(rho=(0.5413248546129181,)), A.PNorm(rho=(0.5413248546129181,)), A.Sum())))
+    assert got[1][0] == pytest.approx(5000 + math.log((1 + math.exp(-1)) / 3)) and got[2][0] == pytest.approx(-3)
+    assert got[1][1] == pytest.approx(math.sqrt((5000**2 + 4999**2 + 9000**2) / 3)) and got[3][1] == pytest.approx(1e200 / math.sqrt(2))
+
+
+def test_picks_repeat_whole_subtrees(bags, spark):
+    parent, inst = bags
+    bag = N.Bag(parent, "bag", N.Leaf(inst.withColumn("id", F.struct("bag", "x")), "id", ["x"]), "bag")
+    got = bag.picked(spark.createDataFrame([(10, 2), (11, 3), (12, 2), (13, 4)], "pos int, bag int"))
+    assert rows(M.BagModel(M.ArrayModel(), A.Sum((-1.0,)))(got)) == {10: (8.0,), 11: (27.0,), 12: (8.0,), 13: (-1.0,)}
+    assert [n.numobs().first()[0] for n in N.unbatch(bag)] == [1, 1, 1, 1] and bag.getobs(3).child.numobs().first()[0] == 3
+
+
+def test_imputed_gradients(spark):
+    from bagloom.operators import gradients as G
+
+    df = spark.createDataFrame([(1, None, 2.0, 1.0), (2, 3.0, None, 10.0), (3, None, None, 100.0)], "k int, a double, b double, d double")
+    back = G.preimpute_back(df, ["a", "b"], ["d"], [[2.0, 5.0]])
+    assert {r.k: (r.dx_a, r.dx_b) for r in back.collect()} == {1: (0.0, 5.0), 2: (20.0, 0.0), 3: (0.0, 0.0)}
+    assert tuple(G.preimpute_psi_back(df, ["a", "b"], ["d"], [[2.0, 5.0]]).first()) == (202.0, 550.0)
+
+
+def test_streamed_windows(spark, tmp_path):
+    """The windowed aggregation on a stream of files gives what it gives on the table."""
+    from bagloom.streaming.bags import windowed
+
+    rows_ = [(1, "2024-01-01 00:10:00", 1.0), (1, "2024-01-01 00:20:00", 3.0), (2, "2024-01-01 00:30:00", None), (1, "2024-01-01 05:00:00", 7.0), (9, "2024-01-02 00:00:00", 0.0)]
+    df = spark.createDataFrame(rows_, "user int, t string, x double").withColumn("t", F.col("t").cast("timestamp")).coalesce(1)
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = windowed(stream, "t", "user", "x").writeStream.format("memory").queryName("w").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {tuple(map(str, r)) for r in spark.table("w").collect()}
+    want = {tuple(map(str, r)) for r in windowed(df, "t", "user", "x").collect()}
+    assert got <= want and len(got) == 3  # the last window stays open
+
+
+def test_cycles_raise(spark):
+    from bagloom.operators.graph import dag
+
+    v = spark.createDataFrame([(1, 1.0), (2, 1.0)], "id int, x double")
+    with pytest.raises(ValueError, match="cycle"):
+        dag(v, spark.createDataFrame([(1, 2), (2, 1)], "src int, dst int"))
+
+
+def test_text_histogram_matches_codes(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "CELLS", 4000)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["foo", None, "", "deadbeef" * 300, "heλlo α", "aaaa", "aaaa"])], "k int, t string")
+    for g in (ngrams.NGrams(3, 256, 17), ngrams.NGrams(1, 256, 2053), ngrams.NGrams(4, 10, 1009)):
+        want = sorted(tuple(r) for r in ngrams.histogram(df, "k", g.codes(F.col("t"))).collect())
+        assert sorted(tuple(r) for r in ngrams.text_histogram(df, "k", "t", g).collect()) == want
