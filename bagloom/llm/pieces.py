@@ -2,7 +2,8 @@
 
 The best segmentation is the one whose pieces have the largest total score (Viterbi over the model's
 vocabulary).  A document of up to CHUNK characters is solved at once; its words are independent, as no
-piece continues behind a word's start, so each distinct short word is solved once and kept.  A larger document
+piece continues behind a word's start, so each distinct word of an Arrow batch is solved once, all short ones
+together by max-plus steps over columns (runs.py).  A larger document
 is cut into chunks, each at the last place in its reach that no piece crosses, else anywhere.  A chunk's
 transfer matrix T has T[i][j], the best score from i characters before its start to j characters before its
 end.  Matrices combine associatively under (max, +): FAN neighbours at a time become one, on many tasks, level
@@ -27,7 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
+from .runs import Trie
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk; longer texts are split.
@@ -78,6 +80,7 @@ class Model:
         for c in {c for p in self.ids for c in p} - self.heads:
             self.found.add_word(c, self.alien)
         self.found.make_automaton()
+        self.trie = Trie(self.ids, self.unknown)
         inside = {c for p in self.ids if len(p) > 1 for c in p}
         self.alone = "" if "\n" in inside else "\n"
         if any(" " in p.lstrip(" ") for p in self.ids):
@@ -162,6 +165,33 @@ class Model:
         """The ids of a prepared text, or of the part of one between two piece ends."""
         return b"".join(map(self.cache.__getitem__, self.units.findall(s)))
 
+    def columns(self, texts: pa.Array) -> pa.Array:
+        """between() for a column of prepared texts; null gives an empty list.
+
+        Texts fall into runs without a space inside, each with the spaces before it.  No piece crosses their
+        borders, so each distinct run of the column is segmented once, and rows are put together from these.
+        """
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        off = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4) if len(texts) else np.zeros(1, np.int32)
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+        off = off - off[0]
+        if not len(raw):
+            return pa.ListArray.from_arrays(pa.array(np.zeros(len(texts) + 1, np.int32)), pa.array([], pa.int32()))
+        space = raw == 32
+        start = space.copy()
+        start[1:] &= ~space[:-1]
+        if self.alone:
+            line = raw == 10
+            start |= line
+            start[1:] |= line[:-1]
+        start[off[:-1][off[:-1] < len(raw)]] = True
+        at = np.append(np.flatnonzero(start), len(raw)).astype(np.int32)
+        runs = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(raw.tobytes())).dictionary_encode()
+        solved = self.trie.segment(runs.dictionary, self.between)
+        which = runs.indices.to_numpy()
+        ends = np.concatenate(([0], np.cumsum(np.diff(solved.offsets.to_numpy())[which], dtype=np.int64)))
+        return pa.ListArray.from_arrays(pa.array(ends[np.searchsorted(at, off)].astype(np.int32)), solved.take(runs.indices).flatten())
+
     def decode(self, ids) -> str:
         text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
@@ -307,12 +337,6 @@ def _model(raw: bytes) -> Model:
     return model
 
 
-def _ints(blobs: list[bytes]) -> pa.Array:
-    flat = np.frombuffer(b"".join(blobs), np.int32)
-    off = np.concatenate(([0], np.cumsum([len(b) // 4 for b in blobs], dtype=np.int64)))
-    return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat))
-
-
 class Pieces:
     """Encoder and decoder for DataFrames; the model file is read once by the driver and sent (under 1 MB)."""
 
@@ -327,11 +351,14 @@ class Pieces:
         encoded alike.  A text of over CHUNK characters is solved in parts on many tasks; its ids become one row.
         """
         sent, chunk = self.sent, self.chunk
+        small_batches(docs)
 
         @F.arrow_udf("array<int>")
         def short(text: pa.Array) -> pa.Array:
             m = _model(sent.value)
-            return _ints([m.encode(t) if t and len(t) <= chunk else b"" for t in (x.as_py() for x in text)])
+            if m.prefix:
+                text = pc.if_else(pc.equal(pc.binary_length(text), 0), text, pc.binary_join_element_wise(m.prefix, text, ""))
+            return m.columns(text)
 
         # long texts are few: read once, kept apart, and joined by content; the others pass by
         flag = F.coalesce(F.char_length(text_col) > chunk, F.lit(False))
@@ -381,11 +408,8 @@ class Pieces:
 
         @F.arrow_udf("array<int>")
         def trace(body: pa.Array, left: pa.Array, enter: pa.Array, leave: pa.Array) -> pa.Array:
-            m, out = _model(sent.value), []
-            for s, n, i, j in zip(*(c.to_pylist() for c in (body, left, enter, leave))):
-                begin, end = n - i, len(s) - j
-                out.append(m.between(s[begin:end]))
-            return _ints(out)
+            rows = zip(*(c.to_pylist() for c in (body, left, enter, leave)))
+            return _model(sent.value).columns(pa.array([s[n - i : len(s) - j] for s, n, i, j in rows], pa.string()))
 
         keyed = texts.dropDuplicates(["key"])
         chunks = cut(keyed.mapInArrow(split, "key string, k int, left int, ends boolean, body string").repartition("key", "k"))

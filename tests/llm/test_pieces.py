@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from bagloom.llm import pieces
+from bagloom.llm import pieces, runs
 
 
 @pytest.fixture(scope="module")
@@ -113,6 +113,25 @@ def test_column_decoding_and_split_words(model):
     assert model.texts(broken).to_pylist() == [model.decode(broken[0].as_py())]
 
 
+def test_columns_equal_single_texts(model):
+    """Distinct runs solved together, with unknown characters, long runs, nulls, slices and several blocks."""
+    import pyarrow as pa
+
+    r = random.Random(1)
+    texts = ["".join(r.choices(" \n\tabetin_,.é漢▁😀1\r\x00", k=r.randint(0, 30))) for _ in range(3000)]
+    texts += [None, "", "x" * 500, "ing" * 40 + " \n", " " * 100]
+    want = [np.frombuffer(model.between(model.prepare(t or "")), np.int32).tolist() for t in texts]
+    column = pa.array([None if t is None else model.prepare(t) for t in texts])
+    old, runs.BLOCK = runs.BLOCK, 700
+    try:
+        assert model.columns(column).to_pylist() == want
+        assert model.columns(column.slice(7, 50)).to_pylist() == want[7:57]
+    finally:
+        runs.BLOCK = old
+    assert model.columns(pa.array([], pa.string())).to_pylist() == []
+    assert model.columns(pa.array(["", None])).to_pylist() == [[], []]
+
+
 def test_empty(spark, nothing):
     p = pieces.Pieces(spark)
     assert p.decode(p.encode(nothing)).collect() == []
