@@ -1,8 +1,11 @@
 import random
+from itertools import combinations
 
+import numpy as np
 import pytest
 
-from bagloom.llm import nearcopies
+from bagloom.llm import nearcopies, simhash
+from bagloom.llm.textscan import mix
 
 
 def shingles(t):
@@ -50,3 +53,67 @@ def test_near_dedup_finds_copies_beyond_three_bits(spark, texts):
 
     df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in near_dedup(spark, df, "").collect()) == brute(texts)
+
+
+def test_signs_are_majorities():
+    r = np.random.default_rng(2)
+    sizes = [1, 2, 4, 5, 84, 85, 86, 300]
+    off = np.concatenate(([0], np.cumsum(sizes)))
+    g = r.integers(0, 1 << 63, off[-1], np.uint64)
+    got = np.unpackbits(simhash.signs(g, off, 3360), axis=1, bitorder="little")
+    for d, (x, y) in enumerate(zip(off, off[1:])):
+        for b in range(0, 3360, 7):
+            h = mix(g[x:y] + np.uint64((b // 32 + 1) * 0x9E3779B97F4A7C15 % 2**64))
+            field = h >> np.uint64(8 * (b % 8) + 2 * (b // 8 % 4)) & np.uint64(3)
+            assert got[d, b] == (sum(2 * int(f) - 3 for f in field) > 0)
+
+
+@pytest.mark.parametrize("both,rest", [(4, (0, 1)), (16, (2, 2)), (40, (5, 5)), (80, (0, 20)), (800, (100, 100))])
+def test_sets_at_the_least_similarity_meet(both, rest):
+    r, n = np.random.default_rng(both), 300
+    exact, blocks = simhash.blocks_for(1000, nearcopies.LEAST)
+    assert exact == 0 and simhash.blocks_for(1 << 23, nearcopies.LEAST)[0] == 3
+    g = [r.integers(0, 1 << 63, (n, k), np.uint64) for k in (both, *rest)]
+    x, y = (simhash.signs(s.ravel(), np.arange(n + 1) * s.shape[1], 24 * blocks) for s in (np.hstack((g[0], g[1])), np.hstack((g[0], g[2]))))
+    met = (np.bitwise_count(x ^ y).reshape(n, blocks, 3).sum(axis=2) <= simhash.RADIUS).any(axis=1)
+    assert (met & (np.bitwise_count(x[:, :12] ^ y[:, :12]).sum(axis=1) <= simhash.CHECK_DISTANCE)).all()
+
+
+@pytest.mark.parametrize("exact,hot,whole", [(0, 200, 2048), (0, 2, 2048), (0, 2, 4), (1, 3, 2048)])
+def test_meetings_connect_what_agrees_on_a_block(spark, exact, hot, whole):
+    r, blocks, width = np.random.default_rng(hot), 9, 24 + exact
+    seeds = r.integers(0, 2, (25, width * blocks), np.uint8)
+    bits = np.repeat(seeds, 6, axis=0)
+    bits ^= r.random(bits.shape) < np.tile([0, 0.02, 0.05, 0.08, 0.12, 0.3], 25)[:, None]
+    rows = [(k, k, bytes(x)) for k, x in enumerate(np.packbits(bits, axis=1, bitorder="little"))]
+    packs = simhash.packed(spark.createDataFrame(rows, "node long, content long, bits binary").repartition(3))
+    row = {x.number: x.node for x in simhash.numbered(packs).collect()}
+    number = {v: k for k, v in row.items()}
+    same = [0, 1, 2]
+    known = spark.createDataFrame([(number[k], number[0]) for k in same], "node long, label long")
+    for linked, first, last in ((None, 0, blocks), (known, 3, blocks)):
+        groups, mine = {}, set()
+        for m in simhash.meetings(packs, exact, first, last, hot, linked, whole).collect():
+            if m.key is None:
+                assert m.a < m.b
+                mine.add(tuple(sorted((row[m.a], row[m.b]))))
+            else:
+                groups.setdefault((m.key, m.b), []).append(row[m.a])
+        assert linked is None or not mine & set(combinations(same, 2))
+        for (_, size), g in groups.items():
+            assert len(g) == len(set(g)) == size > hot
+            mine |= {tuple(sorted(p)) for p in combinations(g, 2)}
+        assert bool(groups) == (hot < 200)
+        for i, j in combinations(range(len(rows)), 2):
+            d = (bits[i] != bits[j]).reshape(blocks, width)
+            meet = (d[:, :24].sum(axis=1) <= simhash.RADIUS) & ~d[:, 24:].any(axis=1)
+            if d.ravel()[:96].sum() <= simhash.CHECK_DISTANCE and meet[first:last].any() and not meet[:first].any() and not (linked and {i, j} <= set(same)):
+                assert (i, j) in mine
+
+
+def test_nothing_beside_simhash_links_texts(spark, monkeypatch):
+    words = [f"w{i}" for i in range(150)]
+    df = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(["other", *words[1:]]))], "doc_id long, text string")
+    assert [r.doc_id for r in nearcopies.distinct_rows(df).collect()] == [0]
+    monkeypatch.setattr(nearcopies, "meetings", lambda *a: simhash.meetings(*a).where("false"))
+    assert sorted(r.doc_id for r in nearcopies.distinct_rows(df).collect()) == [0, 1]
