@@ -117,3 +117,9 @@ def test_nothing_beside_simhash_links_texts(spark, monkeypatch):
     assert [r.doc_id for r in nearcopies.distinct_rows(df).collect()] == [0]
     monkeypatch.setattr(nearcopies, "meetings", lambda *a: simhash.meetings(*a).where("false"))
     assert sorted(r.doc_id for r in nearcopies.distinct_rows(df).collect()) == [0, 1]
+
+
+def test_texts_are_shuffled_once_for_the_result(spark, texts):
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    plan = nearcopies.distinct_rows(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # the rows, and the names of those to keep
