@@ -283,7 +283,7 @@ def _words(bits: range) -> tuple[np.uint64, np.uint32]:
     return m[:8].view(np.uint64)[0], m[8:].view(np.uint32)[0]
 
 
-def _meet(exact: int, hot: int, whole: int):
+def _meet(exact: int, hot: int, whole: int, hubs: bool):
     width, step_bits = NEAR + exact, NEAR // NIBBLES
     seen = [(_words(range(q * width, q * width + NEAR)), _words(range(q * width + NEAR, (q + 1) * width))) for q in range(CHECK // width)]
     masks = [np.uint32(sum((1 << step_bits) - 1 << step_bits * c for c in chosen)) for chosen in combinations(range(NIBBLES), NIBBLES - RADIUS)]
@@ -309,6 +309,15 @@ def _meet(exact: int, hot: int, whole: int):
             new = np.append(True, (v[1:] & mask) != (v[:-1] & mask))
             begin = np.flatnonzero(new)
             count = np.diff(np.append(begin, size))
+            if hubs:
+                ones = np.add.reduceat(np.unpackbits(check[order], axis=1), begin, axis=0, dtype=np.int32)
+                middle = np.repeat(np.packbits(2 * ones > count[:, None], axis=1), count, axis=0)
+                far = np.bitwise_count(check[order] ^ middle).sum(axis=1, dtype=np.int64)
+                hub = np.lexsort((far, np.repeat(begin, count)))[begin]  # the row next to the majority of its run
+                i, j = np.repeat(order[hub], count), order
+                ok = (i != j) & (np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j]) <= CHECK_DISTANCE)
+                found.append(np.minimum(i, j)[ok] * size + np.maximum(i, j)[ok])
+                continue
             for b, c in zip(begin[count > whole].tolist(), count[count > whole].tolist()):
                 run_ = order[b : b + c]
                 if (group[run_] != group[run_[0]]).any():
@@ -326,7 +335,11 @@ def _meet(exact: int, hot: int, whole: int):
                 found.append(np.minimum(i, j) * size + np.maximum(i, j))
                 step += 1
                 live = live[behind[live] >= step]
-        pairs, star = np.unique(np.concatenate(found)), np.concatenate(stars)
+        pairs = np.unique(np.concatenate(found))
+        if hubs:
+            a, b = node[pairs // size], node[pairs % size]
+            return pa.table({"key": pa.nulls(len(a), pa.int64()), "a": np.minimum(a, b), "b": np.maximum(a, b)})
+        star = np.concatenate(stars)
         i, j = pairs // size, pairs % size
         label = _reach(size, np.concatenate((i, star // size)), np.concatenate((j, star % size)))
         members = np.bincount(label, minlength=size)
@@ -339,13 +352,14 @@ def _meet(exact: int, hot: int, whole: int):
     return run
 
 
-def meetings(packs: DataFrame, exact: int, first: int, last: int, hot: int, known: DataFrame | None = None, whole: int = WHOLE) -> DataFrame:
+def meetings(packs: DataFrame, exact: int, first: int, last: int, hot: int, known: DataFrame | None = None, whole: int = WHOLE, hubs: bool = False) -> DataFrame:
     """(key, a, b), checkpointed: pairs a < b of numbers that meet in blocks first to last - 1, with no key; and the
     members a of groups of over `hot` that meet in a block, each with its group's key and size b.
 
     packs: as packed() gives them.  known: (node, label) of numbers that are linked already; what bears one label needs
     no pair.  Pairs that differ in over CHECK_DISTANCE of the first CHECK bits are left out; at similarity 0.8 two in a
     million are, of four members against five 14 in a million.  Over `whole` rows that agree on four nibbles are one group.
+    hubs: of all that agree on four nibbles only the pairs with the row in their middle, which link most of a large group.
     """
     rows = packs.select("pack", (F.octet_length("node") / 8).cast("int").alias("n"), "bits")
     if known is None:
@@ -354,4 +368,4 @@ def meetings(packs: DataFrame, exact: int, first: int, last: int, hot: int, know
         by = known.groupBy(F.shiftright("node", 16).alias("pack")).agg(F.collect_list(F.struct(F.col("node").alias("number"), "label")).alias("known"))
         rows = rows.join(by, "pack", "left")
     dealt = rows.select("pack", "n", "bits", "known").mapInArrow(_pieces(exact, first, last), "bucket int, pack long, data binary")
-    return cut(dealt.groupBy("bucket").applyInArrow(_meet(exact, hot, whole), "key long, a long, b long"))
+    return cut(dealt.groupBy("bucket").applyInArrow(_meet(exact, hot, whole, hubs), "key long, a long, b long"))

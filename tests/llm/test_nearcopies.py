@@ -115,7 +115,7 @@ def test_nothing_beside_simhash_links_texts(spark, monkeypatch):
     words = [f"w{i}" for i in range(150)]
     df = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(["other", *words[1:]]))], "doc_id long, text string")
     assert [r.doc_id for r in nearcopies.distinct_rows(df).collect()] == [0]
-    monkeypatch.setattr(nearcopies, "meetings", lambda *a: simhash.meetings(*a).where("false"))
+    monkeypatch.setattr(nearcopies, "meetings", lambda *a, **k: simhash.meetings(*a, **k).where("false"))
     assert sorted(r.doc_id for r in nearcopies.distinct_rows(df).collect()) == [0, 1]
 
 
