@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import pickle
 from itertools import combinations
-from math import acos, ceil, comb, log, log1p, log2, pi
+from math import acos, ceil, comb, log, log1p, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -181,6 +181,12 @@ def blocks_for(n: int, least: float) -> tuple[int, int]:
     return exact, max(-(-CHECK // (NEAR + exact)), ceil(log(MISS) / log1p(-meet)) if meet < 1 else 1)
 
 
+def farthest(bits: int, least: float) -> int:
+    """Of `bits` bits, how many sets with a Jaccard similarity of `least` or more differ in: one such pair in 10**9 in more."""
+    p = SMALL * acos(min(1.0, 2 * least / (1 + least))) / pi
+    return ceil(bits * p + 6 * sqrt(bits * p * (1 - p)))
+
+
 def signs(g: np.ndarray, off: np.ndarray, bits: int) -> np.ndarray:
     """SimHash of sets of 64-bit hashes, one row of packed bits each; none of the sets is empty.
 
@@ -230,6 +236,18 @@ def numbered(packs: DataFrame) -> DataFrame:
     return packs.select("pack", "node", "content").mapInArrow(run, "number long, node long, content long")
 
 
+def printed(packs: DataFrame) -> DataFrame:
+    """(number, bits) of the rows of packs."""
+
+    def run(batches):
+        for b in batches:
+            for pack, n, bits in zip(*(b.column(c).to_pylist() for c in range(3))):
+                step = len(bits) // n
+                yield pa.RecordBatch.from_arrays([pa.array((pack << 16) + np.arange(n)), pa.array([bits[i : i + step] for i in range(0, len(bits), step)], pa.binary())], names=["number", "bits"])
+
+    return packs.select("pack", (F.octet_length("node") / 8).cast("int").alias("n"), "bits").mapInArrow(run, "number long, bits binary")
+
+
 def _pieces(exact: int, first: int, last: int):
     width, split = NEAR + exact, 1 << exact
 

@@ -123,3 +123,47 @@ def test_texts_are_shuffled_once_for_the_result(spark, texts):
     df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     plan = nearcopies.distinct_rows(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2  # the rows, and the names of those to keep
+
+
+def test_sets_are_made_only_for_what_may_be_near_copies(spark, monkeypatch):
+    r, made, links = random.Random(7), [], nearcopies.links
+    passage = [f"p{i}" for i in range(60)]
+    own = [passage + [f"w{r.randrange(10**9)}" for _ in range(60)] for _ in range(300)]
+    copy = ["other", *own[0][1:]]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([*own, copy])], "doc_id long, text string")
+    monkeypatch.setattr(nearcopies, "links", lambda met, sets, *a, **k: made.append(sets.count()) or links(met, sets, *a, **k))
+    assert sorted(x.doc_id for x in nearcopies.distinct_rows(df).collect()) == list(range(300))
+    assert 2 <= sum(made) <= 6  # the two alike; the others share a third, meet in blocks, and are told apart by their bits
+
+
+def test_blocks_of_few_bytes_give_the_same_groups(spark, texts, monkeypatch):
+    monkeypatch.setattr(nearcopies, "BLOCK_BYTES", 5000)
+    monkeypatch.setattr(nearcopies, "FEW", 0)
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in nearcopies.distinct_rows(df, hot=1).collect()) == brute(texts)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_forest_is_that_of_all_pairs(seed):
+    r, n = np.random.default_rng(seed), 60
+    base = [r.choice(1 << 20, 40, replace=False) for _ in range(6)]
+    sets = [np.unique(np.append(base[r.integers(6)][: r.integers(34, 41)], r.integers(1 << 20, 1 << 21, r.integers(0, 9)))).astype(np.uint64) for _ in range(n)]
+    label, side = r.integers(0, [n, 8, 2, 1][seed], n), r.integers(0, 2, n)
+    inner = np.array([True, False])[side]
+    want = {int(x): int(x) for x in label}
+    for i, j in combinations(range(n), 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if (side[i] != side[j] or inner[i]) and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = sorted((want[int(label[i])], want[int(label[j])]))
+            want = {k: a if v == b else v for k, v in want.items()}
+    a, b = nearcopies.forest(sets, 0.8, label, side, inner)
+    assert dict(zip(a.tolist(), b.tolist())) == want
+
+
+def test_sets_at_the_least_similarity_are_near_by_their_whole_fingerprints():
+    r, n = np.random.default_rng(5), 2000
+    bits = 24 * simhash.blocks_for(1000, nearcopies.LEAST)[1]
+    for both, rest in ((4, (0, 1)), (80, (10, 10)), (400, (0, 100))):
+        g = [r.integers(0, 1 << 63, (n, k), np.uint64) for k in (both, *rest)]
+        x, y = (simhash.signs(s.ravel(), np.arange(n + 1) * s.shape[1], bits) for s in (np.hstack((g[0], g[1])), np.hstack((g[0], g[2]))))
+        assert np.bitwise_count(x ^ y).sum(axis=1).max() <= simhash.farthest(bits, nearcopies.LEAST) < 0.25 * bits
