@@ -293,6 +293,16 @@ def _reach(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _most_frequent(part: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For each row the most frequent value of its part, the smallest of several."""
+    order = np.lexsort((value, part))
+    p, v = part[order], value[order]
+    begin = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (v[1:] != v[:-1]))[: len(p)])
+    best = begin[np.lexsort((v[begin], -np.diff(np.append(begin, len(p))), p[begin]))]
+    parts, first = np.unique(p[best], return_index=True)
+    return v[best[first]][np.searchsorted(parts, part)]
+
+
 def _words(bits: range) -> tuple[np.uint64, np.uint32]:
     """Some of the CHECK bits as masks of its first 64 and its last 32."""
     m = np.zeros(CHECK, np.uint8)
@@ -356,7 +366,8 @@ def _meet(exact: int, hot: int, whole: int, hubs: bool):
         pairs = np.unique(np.concatenate(found))
         if hubs:
             a, b = node[pairs // size], node[pairs % size]
-            return pa.table({"key": pa.nulls(len(a), pa.int64()), "a": np.minimum(a, b), "b": np.maximum(a, b)})
+            none = pa.nulls(len(a), pa.int64())
+            return pa.table({"key": none, "a": np.minimum(a, b), "b": np.maximum(a, b), "main": none, "label": none})
         star = np.concatenate(stars)
         i, j = pairs // size, pairs % size
         label = _reach(size, np.concatenate((i, star // size)), np.concatenate((j, star % size)))
@@ -365,14 +376,17 @@ def _meet(exact: int, hot: int, whole: int, hubs: bool):
         few = ~dense[i]
         a, b = node[i[few]], node[j[few]]
         key = mix(node[label[dense]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(bucket)).view(np.int64)
-        return pa.table({"key": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(key)]), "a": np.concatenate((np.minimum(a, b), node[dense])), "b": np.concatenate((np.maximum(a, b), members[label[dense]]))})
+        none, most = pa.nulls(len(a), pa.int64()), _most_frequent(label[dense], group[dense])
+        key, main, own = (pa.concat_arrays([none, pa.array(c)]) for c in (key, most, group[dense]))
+        return pa.table({"key": key, "a": np.concatenate((np.minimum(a, b), node[dense])), "b": np.concatenate((np.maximum(a, b), members[label[dense]])), "main": main, "label": own})
 
     return run
 
 
 def meetings(packs: DataFrame, exact: int, first: int, last: int, hot: int, known: DataFrame | None = None, whole: int = WHOLE, hubs: bool = False) -> DataFrame:
-    """(key, a, b), checkpointed: pairs a < b of numbers that meet in blocks first to last - 1, with no key; and the
-    members a of groups of over `hot` that meet in a block, each with its group's key and size b.
+    """(key, a, b, main, label), checkpointed: pairs a < b of numbers that meet in blocks first to last - 1, with no key;
+    and the members a of groups of over `hot` that meet in a block, each with its group's key, size b and most frequent
+    label, and its own label.
 
     packs: as packed() gives them.  known: (node, label) of numbers that are linked already; what bears one label needs
     no pair.  Pairs that differ in over CHECK_DISTANCE of the first CHECK bits are left out; at similarity 0.8 two in a
@@ -386,4 +400,4 @@ def meetings(packs: DataFrame, exact: int, first: int, last: int, hot: int, know
         by = known.groupBy(F.shiftright("node", 16).alias("pack")).agg(F.collect_list(F.struct(F.col("node").alias("number"), "label")).alias("known"))
         rows = rows.join(by, "pack", "left")
     dealt = rows.select("pack", "n", "bits", "known").mapInArrow(_pieces(exact, first, last), "bucket int, pack long, data binary")
-    return cut(dealt.groupBy("bucket").applyInArrow(_meet(exact, hot, whole, hubs), "key long, a long, b long"))
+    return cut(dealt.groupBy("bucket").applyInArrow(_meet(exact, hot, whole, hubs), "key long, a long, b long, main long, label long"))

@@ -167,3 +167,32 @@ def test_sets_at_the_least_similarity_are_near_by_their_whole_fingerprints():
         g = [r.integers(0, 1 << 63, (n, k), np.uint64) for k in (both, *rest)]
         x, y = (simhash.signs(s.ravel(), np.arange(n + 1) * s.shape[1], bits) for s in (np.hstack((g[0], g[1])), np.hstack((g[0], g[2]))))
         assert np.bitwise_count(x ^ y).sum(axis=1).max() <= simhash.farthest(bits, nearcopies.LEAST) < 0.25 * bits
+
+
+def test_a_group_that_meets_in_many_blocks_is_compared_once(spark, monkeypatch):
+    r, seen, close = random.Random(11), [], nearcopies.close
+    base, texts = [f"w{i}" for i in range(150)], []
+    for k in range(60):
+        w = base[:]
+        for i in r.sample(range(150), 3):
+            w[i] = f"x{k}.{i}"
+        texts.append(" ".join(w))
+
+    def spied(*a, **k):
+        got = close(*a, **k)
+        seen.append(got.where("key is not null").count())
+        return got
+
+    monkeypatch.setattr(nearcopies, "FEW", 0)
+    monkeypatch.setattr(nearcopies, "close", spied)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in nearcopies.distinct_rows(df).collect()) == brute(texts)
+    assert len(brute(texts)) > 5 and 60 <= sum(seen) <= 6 * 60
+
+
+def test_most_frequent_of_each_part():
+    r = np.random.default_rng(1)
+    part, value = r.integers(0, 20, 300), r.integers(0, 4, 300)
+    got = simhash._most_frequent(part, value)
+    assert all(g == np.bincount(value[part == p]).argmax() for p, g in zip(part, got))
+    assert len(simhash._most_frequent(part[:0], value[:0])) == 0
