@@ -196,3 +196,13 @@ def test_most_frequent_of_each_part():
     got = simhash._most_frequent(part, value)
     assert all(g == np.bincount(value[part == p]).argmax() for p, g in zip(part, got))
     assert len(simhash._most_frequent(part[:0], value[:0])) == 0
+
+
+def test_small_partitions_are_read_together(spark):
+    from bagloom.llm.common import components, cut
+
+    df = spark.range(300).repartition(50)
+    assert cut(df).rdd.getNumPartitions() == 50
+    assert [cut(df, rows).rdd.getNumPartitions() for rows in (1000, 100)] == [1, 4]
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40, 1) if i % 10 != 9], "a long, b long")
+    assert sorted(map(tuple, components(edges, rows=8).collect())) == sorted(map(tuple, components(edges).collect()))
