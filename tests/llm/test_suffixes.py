@@ -46,6 +46,16 @@ def test_induction_by_bucket_is_the_same():
         assert lcp[b] == n
 
 
+def test_substring_that_ends_where_others_go_on():
+    """Substrings of wide symbols are compared seven at a time; here one ends just behind the seventh."""
+    t = [257, 1, 2, 257, 257, 257, 257, 2, 1, 257, 1, 2, 257, 257, 257, 257, 2, 2, 1, 257, 1, 2, 257, 257, 257, 257, 2, 257, 0]
+    assert suffixes.suffix_array(np.array(t)).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+    contexts = [b"abzzzzbaabzzzzbzazazz", b"abzzzzbaabzzzzbaabzzzzba"]
+    seen = Counter(c[p : p + 12] for c in contexts for p in range(len(c) - 11))
+    got = suffixes.repeated_windows(contexts, [False, False], 12)
+    assert [x.tolist() for x in got] == [[seen[c[p : p + 12]] > 1 for p in range(len(c) - 11)] for c in contexts]
+
+
 def brute(rows):
     seen = Counter()
     for _, t, *_ in rows:
