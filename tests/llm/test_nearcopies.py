@@ -206,3 +206,22 @@ def test_small_partitions_are_read_together(spark):
     assert [cut(df, rows).rdd.getNumPartitions() for rows in (1000, 100)] == [1, 4]
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40, 1) if i % 10 != 9], "a long, b long")
     assert sorted(map(tuple, components(edges, rows=8).collect())) == sorted(map(tuple, components(edges).collect()))
+
+
+def test_finished_shuffles_are_deleted(spark):
+    """Before the last step, which shuffles all texts, no shuffle of the steps before is left."""
+    import time
+
+    from bagloom.llm.common import release
+
+    df = spark.createDataFrame([(i, " ".join(f"w{i // 2}.{j}" for j in range(30))) for i in range(40)], "doc_id long, text string")
+    known = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    release(spark)
+    time.sleep(2)
+    before = known()
+    got = nearcopies.distinct_rows(df)
+    end = time.time() + 20
+    while known() > before + 3 and time.time() < end:
+        time.sleep(0.2)
+    assert known() <= before + 3
+    assert sorted(x.doc_id for x in got.collect()) == list(range(0, 40, 2))
