@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,8 +13,6 @@ from pyspark.sql import types as T
 
 from .. import options
 
-PAIRS = T.ArrayType(T.StructType([T.StructField("code", T.LongType()), T.StructField("cnt", T.LongType())]))
-
 
 def byte_values(text: Column) -> Column:
     """UTF-8 bytes of a string as array<bigint>."""
@@ -66,25 +65,23 @@ class NGrams:
 
 
 def histogram(df: DataFrame, key: str, codes_col: Column) -> DataFrame:
-    """(key, code, cnt): the sparse n-gram matrix, duplicates summed."""
+    """(key, code, cnt): the sparse n-gram matrix of any codes, duplicates summed; a group a cell.  For texts see text_histogram()."""
     return df.select(key, F.explode(codes_col).alias("code")).groupBy(key, "code").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-#: Cells of the count table that a batch of rows is counted in at a time.
-CELLS = 1 << 22
+#: Bytes of text that are counted at a time; up to so many cells the counts are a table, else the codes are sorted.
+CELLS = 1 << 20
 
 
-def _counted(column: pa.Array, g: NGrams, start: int, end: int) -> pa.Array:
-    """For each text the distinct codes and how often they occur, by code, over byte buffers."""
+def _counted(column: pa.Array, g: NGrams, start: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each text the distinct codes and how often they occur, by code: (row, code, count) of some rows at a time."""
     column = column.cast(pa.large_binary())
     rows, valid = len(column), np.asarray(column.is_valid())
     off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + rows + 1]
     raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    codes, counts, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(rows, np.int64)
     pad, i = g.n - 1, 0
     while i < rows:
-        # as many rows as the table holds, and about as many bytes
-        j = min(rows, i + max(1, CELLS // g.m), max(i + 1, int(np.searchsorted(off, off[i] + CELLS, "right")) - 1))
+        j = min(rows, max(i + 1, int(np.searchsorted(off, off[i] + CELLS, "right")) - 1))
         size = np.where(valid[i:j], np.diff(off[i : j + 1]), 0)
         begin = np.concatenate(([0], np.cumsum(size + 2 * pad)))
         text = np.full(begin[-1], end, np.int64)
@@ -97,28 +94,35 @@ def _counted(column: pa.Array, g: NGrams, start: int, end: int) -> pa.Array:
         code = np.zeros(len(at), np.int64)
         for k in range(g.n):
             code = (code * g.b + text[at + k]) % g.m
-        table = np.bincount(row * g.m + code, minlength=0)
-        cell = np.flatnonzero(table)
-        codes.append(cell % g.m)
-        counts.append(table[cell])
-        sizes[i:j] = np.bincount(cell // g.m, minlength=j - i)
+        if (j - i) * g.m <= max(CELLS, len(at)):
+            table = np.bincount(row * g.m + code)
+            cell = np.flatnonzero(table)
+            count = table[cell]
+        else:
+            cell, count = np.unique(row * g.m + code, return_counts=True)
+        yield i + cell // g.m, cell % g.m, count.astype(np.int64)
         i = j
-    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(codes)), pa.array(np.concatenate(counts).astype(np.int64))], names=["code", "cnt"])
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pairs)
 
 
-def text_histogram(df: DataFrame, key: str, text: str, grams: NGrams = NGrams()) -> DataFrame:
-    """histogram() of a text column, one row a key: counted within the row over byte buffers, without a shuffle.
+def text_histogram(df: DataFrame, key: str, text: str, grams: NGrams = NGrams(), carry: Sequence[str] = ()) -> DataFrame:
+    """(key, carry..., code, cnt): histogram() of a text column, each row's codes counted by themselves, without a shuffle.
 
-    Measured at many times the speed of array expressions, which are interpreted; hence the Arrow batches.
+    Rows of one key are not summed; project() and the gradients do so.  Measured at many times the speed of array
+    expressions, which are interpreted; hence the Arrow batches.  Neither they nor what is counted grow with the input.
     """
     start, end = options.get("string_start_code"), options.get("string_end_code")
-
-    @F.arrow_udf(PAIRS)
-    def count(column: pa.Array) -> pa.Array:
-        return _counted(column, grams, start, end)
-
-    return df.select(key, F.inline(count(F.col(text).cast("binary"))))
+    own = df.select(key, *carry, F.col(text).cast("binary").alias("__text"))
+    last = len(own.columns) - 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, code, cnt in _counted(b.column(last), grams, start, end):
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in range(last)), pa.array(code), pa.array(cnt)], names=names)
+
+    schema = T.StructType([*own.schema.fields[:last], T.StructField("code", T.LongType()), T.StructField("cnt", T.LongType())])
+    names = schema.fieldNames()
+    return own.mapInArrow(count, schema)
 
 
 def project(hist: DataFrame, key: str, weights: DataFrame, dims: int) -> DataFrame:

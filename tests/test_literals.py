@@ -145,3 +145,13 @@ def test_text_histogram_matches_codes(spark, monkeypatch):
     for g in (ngrams.NGrams(3, 256, 17), ngrams.NGrams(1, 256, 2053), ngrams.NGrams(4, 10, 1009)):
         want = sorted(tuple(r) for r in ngrams.histogram(df, "k", g.codes(F.col("t"))).collect())
         assert sorted(tuple(r) for r in ngrams.text_histogram(df, "k", "t", g).collect()) == want
+
+
+def test_counting_holds_few_texts_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngrams, "CELLS", 4000)
+    texts = pa.array([b"ab" * 500, None, b"", b"xyz" * 700] * 20, pa.binary())
+    parts = list(ngrams._counted(texts, ngrams.NGrams(3, 256, 17), 2, 3))
+    assert len(parts) > 10 and all(len(set(row.tolist())) <= 16 for row, _, _ in parts)
+    assert sum(int(n.sum()) for _, _, n in parts) == 20 * (1002 + 2 + 2102)
