@@ -617,7 +617,7 @@ def ngram_concat(s, d):
     a = N.Strings(table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("t")), "id", ["t"], g)
     b = N.Strings(table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("t")), "id", ["t"], g)
     both = N.catobs(a, b)
-    hist = ngrams.histogram(both.df, both.key, both.grams.codes(F.col("t")))
+    hist = ngrams.text_histogram(both.df, both.key, "t", both.grams)
     return hist.groupBy(F.col("id.part").alias("part"), "code").agg(F.sum("cnt").alias("cnt"))
 
 

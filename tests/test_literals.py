@@ -155,3 +155,12 @@ def test_counting_holds_few_texts_at_a_time(monkeypatch):
     parts = list(ngrams._counted(texts, ngrams.NGrams(3, 256, 17), 2, 3))
     assert len(parts) > 10 and all(len(set(row.tolist())) <= 16 for row, _, _ in parts)
     assert sum(int(n.sum()) for _, _, n in parts) == 20 * (1002 + 2 + 2102)
+
+
+@pytest.mark.parametrize("name", ["S5_S8_ngram_concat"])
+def test_ngram_queries_group_no_cells(spark, name):
+    """No query groups by key and code, whose groups are some 30 times the rows."""
+    from bagloom.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not [x for x in plan.split("\n") if "Aggregate(keys=[" in x and "code" in x.split("functions")[0] and "key" in x.split("functions")[0].split("keys=")[1]]
