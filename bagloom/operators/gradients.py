@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.activations import pnorm_power_inverse, softplus_inverse
+from ..functions.ngrams import NGrams, text_histogram
 from .aggregations import LSE, PNorm, aggregate
 
 
@@ -94,6 +95,13 @@ def ngram_back(histogram: DataFrame, upstream: DataFrame, key: str, deltas: list
     return histogram.join(upstream, key).groupBy("code").agg(*(F.sum(F.col("cnt") * F.col(d)).alias(d) for d in deltas))
 
 
+def text_back(texts: DataFrame, key: str, text: str, upstream: DataFrame, deltas: Sequence[str], grams: NGrams = NGrams()) -> DataFrame:
+    """ngram_back() of a text column: the texts meet the upstream gradient before their codes are counted, so no row a
+    code is shuffled."""
+    met = texts.select(key, text).join(upstream.select(key, *deltas), key)
+    return text_histogram(met, key, text, grams, deltas).groupBy("code").agg(*(F.sum(F.col("cnt") * F.col(d)).alias(d) for d in deltas))
+
+
 def _through(deltas: Sequence[str], w: Sequence[Sequence[float]], j: int) -> Column:
     """Entry j of the transposed weights times the upstream gradient."""
     out = F.lit(0.0)
@@ -117,9 +125,10 @@ def hot_back(df: DataFrame, index: str, deltas: Sequence[str]) -> DataFrame:
     return df.groupBy(index).agg(*(F.sum(d).alias(d) for d in deltas))
 
 
-def postimpute_ngram_back(strings: DataFrame, key: str, text: str, histogram: DataFrame, deltas: Sequence[str]) -> DataFrame:
+def postimpute_ngram_back(strings: DataFrame, key: str, text: str, deltas: Sequence[str], grams: NGrams = NGrams()) -> DataFrame:
     """(code, one gradient a column) of an n-gram product that imputes afterwards; code null holds psi's gradient."""
-    some = ngram_back(histogram, strings.where(F.col(text).isNotNull()).select(key, *deltas), key, list(deltas))
+    given = strings.where(F.col(text).isNotNull())
+    some = text_back(given, key, text, given, deltas, grams)
     none = strings.where(F.col(text).isNull()).agg(*(F.coalesce(F.sum(d), F.lit(0.0)).alias(d) for d in deltas))
     return some.unionByName(none.select(F.lit(None).cast("bigint").alias("code"), *deltas))
 

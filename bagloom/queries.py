@@ -368,7 +368,7 @@ query("G8_grad_postimpute_hot", f"select cast(list_position([0, 1], quality::int
 @query("G8_grad_postimpute_ngram", f"with src as (select p_partkey as id, p_name as t from part where p_size > 10) select code, sum(p_size)::double as g from (select id, unnest(codes) as code from {_code_sql('t', 2053)}) join part on id = p_partkey group by 1 union all select null, sum(p_size)::double from part where not p_size > 10")
 def postimpute_ngram_back(s, d):
     part = table(s, d, "part").select("p_partkey", F.when(F.col("p_size") > 10, F.col("p_name")).alias("name"), F.col("p_size").cast("double").alias("g"))
-    return gradients.postimpute_ngram_back(part, "p_partkey", "name", ngrams.histogram(part, "p_partkey", ngrams.string_codes(F.col("name"))), ["g"])
+    return gradients.postimpute_ngram_back(part, "p_partkey", "name", ["g"])
 
 
 _EV = "(select event_id, user_id, ts, value, value % 3 as v2, value % 7 - 3 as d0, value % 5 - 2 as d1 from events)"

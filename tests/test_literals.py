@@ -147,6 +147,23 @@ def test_text_histogram_matches_codes(spark, monkeypatch):
         assert sorted(tuple(r) for r in ngrams.text_histogram(df, "k", "t", g).collect()) == want
 
 
+def test_text_histogram_counts_within_rows(spark, monkeypatch):
+    """Keys that repeat or are null, and carried columns, give what the grouped histogram gives; no group is a cell."""
+    from bagloom.operators import gradients as G
+
+    df = spark.createDataFrame([(1, "abcabc", 2.0), (1, "bcd", 3.0), (None, "abc", 5.0), (2, None, 7.0), (3, "", 11.0), (4, "q" * 50, 13.0)], "k int, t string, g double")
+    w, g = spark.range(17).select(F.col("id").alias("code"), (F.col("id") * 0.5).alias("w0")), ngrams.NGrams(3, 256, 17)
+    want = ngrams.histogram(df, "k", g.codes(F.col("t")))
+    grams = ngrams.text_histogram(df, "k", "t", g)
+    assert "Aggregate" not in grams._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, ngrams.project(grams, "k", w, 1).collect())) == sorted(map(str, ngrams.project(want, "k", w, 1).collect()))
+    up = df.select("k", "g")
+    back = G.text_back(df, "k", "t", up, ["g"], g)
+    assert rows(back) == rows(G.ngram_back(want, up, "k", ["g"]))
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Join")  # the codes are counted above the join
+
+
 def test_counting_holds_few_texts_at_a_time(monkeypatch):
     import pyarrow as pa
 
@@ -157,7 +174,7 @@ def test_counting_holds_few_texts_at_a_time(monkeypatch):
     assert sum(int(n.sum()) for _, _, n in parts) == 20 * (1002 + 2 + 2102)
 
 
-@pytest.mark.parametrize("name", ["S5_S8_ngram_concat"])
+@pytest.mark.parametrize("name", ["S5_S8_ngram_concat", "G8_grad_postimpute_ngram"])
 def test_ngram_queries_group_no_cells(spark, name):
     """No query groups by key and code, whose groups are some 30 times the rows."""
     from bagloom.queries import QUERIES
