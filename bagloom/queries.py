@@ -223,7 +223,7 @@ query("S7_ngram_project", f"with src as (select p_partkey as id, p_name as t fro
 @query("S16_postimpute_ngram", f"with src as (select p_partkey as id, p_name as t from part where p_size > 10) select p_partkey, round(case when p_size > 10 then y0 else 7.0 end, 4)::double as y0, round(case when p_size > 10 then y1 else 8.0 end, 4)::double as y1 from part left join ({_PROJ}) on p_partkey = id")
 def postimpute_ngram(s, d):
     part = table(s, d, "part").withColumn("name", F.when(F.col("p_size") > 10, F.col("p_name")))
-    y = ngrams.project(ngrams.histogram(part, "p_partkey", ngrams.string_codes(F.col("name"))), "p_partkey", _w(s), 2)
+    y = ngrams.project(ngrams.text_histogram(part, "p_partkey", "name"), "p_partkey", _w(s), 2)
     out = part.join(y, "p_partkey", "left")
     a, b = affine.postimpute([F.col("y0"), F.col("y1")], F.col("name").isNull(), [7.0, 8.0])
     return _round(out.select("p_partkey", a.alias("y0"), b.alias("y1")))
