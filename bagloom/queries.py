@@ -341,7 +341,7 @@ def numeric_check(s, d):
 
 query("G1_grad_psi", "select round(sum(o_totalprice), 4) as dpsi from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)")(lambda s, d: _round(gradients.empty_back(table(s, d, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), table(s, d, "lineitem"), "l_orderkey", "o_totalprice")))
 query("G6_grad_ngram", f"with src as (select p_partkey as id, p_name as t from part) select code, round(sum(p_size), 4)::double as g from (select id, unnest(codes) as code from {_code_sql('t', 2053)}) join part on id = p_partkey group by 1")(
-    lambda s, d: gradients.ngram_back(ngrams.histogram(table(s, d, "part"), "p_partkey", ngrams.string_codes(F.col("p_name"))), table(s, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("g")), "p_partkey", ["g"])
+    lambda s, d: gradients.text_back(table(s, d, "part"), "p_partkey", "p_name", table(s, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("g")), ["g"])
 )
 query("G9_grad_conv", f"select event_id, round(0.5::double * coalesce(lead(value) over w, 0) + value - 0.25::double * coalesce(lag(value) over w, 0), 4) as dx from events {_WIN}")(lambda s, d: _round(conv.transposed(table(s, d, "events"), "user_id", ["ts", "event_id"], "value", [0.5, 1.0, -0.25]).select("event_id", "dx")))
 _W2 = [[2.0, -1.0, 0.5], [0.25, 3.0, 0.0]]
