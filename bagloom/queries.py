@@ -216,7 +216,7 @@ def _w(s, m=2053):
 
 _PROJ = f"select id, sum((code * 7) % 11 / 10 - 0.5) as y0, sum((code * 5) % 13 / 10 - 0.6) as y1 from (select id, unnest(codes) as code from {_code_sql('t', 2053)}) group by 1"
 query("S7_ngram_project", f"with src as (select p_partkey as id, p_name as t from part) select id as p_partkey, round(y0, 4) as y0, round(y1, 4) as y1 from ({_PROJ})")(
-    lambda s, d: _round(ngrams.project(ngrams.histogram(table(s, d, "part"), "p_partkey", ngrams.string_codes(F.col("p_name"))), "p_partkey", _w(s), 2))
+    lambda s, d: _round(ngrams.project(ngrams.text_histogram(table(s, d, "part"), "p_partkey", "p_name"), "p_partkey", _w(s), 2))
 )
 
 

@@ -174,7 +174,7 @@ def test_counting_holds_few_texts_at_a_time(monkeypatch):
     assert sum(int(n.sum()) for _, _, n in parts) == 20 * (1002 + 2 + 2102)
 
 
-@pytest.mark.parametrize("name", ["S5_S8_ngram_concat", "G8_grad_postimpute_ngram", "S16_postimpute_ngram", "G6_grad_ngram"])
+@pytest.mark.parametrize("name", ["S5_S8_ngram_concat", "G8_grad_postimpute_ngram", "S16_postimpute_ngram", "G6_grad_ngram", "S7_ngram_project"])
 def test_ngram_queries_group_no_cells(spark, name):
     """No query groups by key and code, whose groups are some 30 times the rows."""
     from bagloom.queries import QUERIES
