@@ -181,3 +181,19 @@ def test_ngram_queries_group_no_cells(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and not [x for x in plan.split("\n") if "Aggregate(keys=[" in x and "code" in x.split("functions")[0] and "key" in x.split("functions")[0].split("keys=")[1]]
+
+
+def test_trees_that_differ_are_told_without_a_shuffle(bags, spark, monkeypatch):
+    parent, inst = bags
+    tree = lambda df: N.Bag(parent, "bag", N.Leaf(df, "x", ["x", "y"]), "bag")
+    seen, equal = [], N.equal
+    monkeypatch.setattr(N, "equal", lambda a, b: seen.append(1) or equal(a, b))
+    assert not N.tree_equal(tree(inst), tree(inst.withColumn("y", F.col("y") + 1))) and not seen
+    assert not N.tree_equal(tree(inst), tree(inst.union(inst.limit(1)))) and not seen
+    assert N.tree_equal(tree(inst), tree(inst.repartition(3))) and len(seen) == 2
+    df = lambda rows_, kind: spark.createDataFrame(rows_, f"k {kind}, t string")
+    a = df([(1, None), (1, None), (None, "x")], "int")
+    assert equal(a, df([(1, None), (None, "x"), (1, None)], "long"))
+    assert not equal(a, df([(1, None), (None, "x")], "int")) and not equal(df([(1, None), (None, "x")], "int"), a)
+    assert N.tree_equal(N.Leaf(a, "k", ["t"]), N.Leaf(a.withColumn("k", F.col("k").cast("long")), "k", ["t"]))
+    assert N.tree_hash(tree(inst)) == N.tree_hash(tree(inst.repartition(3)))
