@@ -63,9 +63,17 @@ class Node:
         """One row: the number of observations."""
         return self.df.agg(F.count(F.lit(1)).alias("n"))
 
+    def among(self, keys: DataFrame) -> DataFrame:
+        """Own rows whose key is in keys."""
+        return self.df.join(keys.select(self.key).distinct(), self.key, "left_semi")
+
     def subset(self, keys: DataFrame) -> "Node":
         """The observations whose key is in keys (one column, named as this node's)."""
-        return replace(self, df=self.df.join(keys.select(self.key).distinct(), self.key, "left_semi"))
+        return self.narrowed(self.among(keys))
+
+    def narrowed(self, df: DataFrame) -> "Node":
+        """The node with df, some of its own rows; levels below follow.  Rows at hand need no join by their keys."""
+        return replace(self, df=df)
 
     def map_leaves(self, f: Callable[[DataFrame], DataFrame]) -> "Node":
         return self.with_children({k: c.map_leaves(f) for k, c in self.children().items()})
@@ -123,21 +131,16 @@ class Bag(Node):
     def with_children(self, new):
         return replace(self, child=new.get("child"))
 
-    def subset(self, keys):
-        kept = super().subset(keys)
+    def narrowed(self, df):
         if self.child is None:
-            return kept
-        own = self.child.df.join(kept.df.select(F.col(self.key).alias(self.member)).distinct(), self.member, "left_semi")
-        child = self.child.subset(own.select(self.child.key))
-        if options.get("empty_is_missing") and own.isEmpty():
-            child = None
-        return replace(kept, child=child)
+            return replace(self, df=df)
+        own = self.child.df.join(df.select(F.col(self.key).alias(self.member)).distinct(), self.member, "left_semi")
+        child = None if options.get("empty_is_missing") and own.isEmpty() else self.child.narrowed(own)
+        return replace(self, df=df, child=child)
 
     def remove_instances(self, keep: Column | str) -> "Bag":
         """Only instances that satisfy the condition; bags that lose all stay, empty."""
-        own = self.child.df.where(keep)
-        return replace(self, child=self.child.subset(own.select(self.child.key)))
-
+        return replace(self, child=self.child.narrowed(self.child.df.where(keep)))
 
     def links(self):
         return (self.member, *([self.weight] if self.weight else []))
@@ -158,8 +161,10 @@ class Product(Node):
         return replace(self, parts=new)
 
     def subset(self, keys):
-        kept = super().subset(keys)
-        return replace(kept, parts={k: c.subset(keys.select(F.col(self.key).alias(c.key))) for k, c in self.parts.items()})
+        return replace(self.narrowed(keys), df=self.among(keys))
+
+    def narrowed(self, df):
+        return replace(self, df=df, parts={k: c.subset(df.select(F.col(self.key).alias(c.key))) for k, c in self.parts.items()})
 
 
 @dataclass

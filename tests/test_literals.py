@@ -197,3 +197,17 @@ def test_trees_that_differ_are_told_without_a_shuffle(bags, spark, monkeypatch):
     assert not equal(a, df([(1, None), (None, "x")], "int")) and not equal(df([(1, None), (None, "x")], "int"), a)
     assert N.tree_equal(N.Leaf(a, "k", ["t"]), N.Leaf(a.withColumn("k", F.col("k").cast("long")), "k", ["t"]))
     assert N.tree_hash(tree(inst)) == N.tree_hash(tree(inst.repartition(3)))
+
+
+def test_removed_instances_need_no_join(bags, spark):
+    parent, inst = bags
+    bag = N.Bag(parent, "bag", N.Leaf(inst, "x", ["x", "y"]), "bag").remove_instances("x > 3")
+    assert "Join" not in bag.child.df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.x for r in bag.child.df.collect()) == sorted(r.x for r in inst.collect() if r.x > 3)
+    # instances that share a key are judged singly, and one without a key stays
+    own = spark.createDataFrame([(1, 7, 1.0), (1, 7, 9.0), (2, None, 8.0)], "bag int, id int, x double")
+    kept = N.Bag(parent, "bag", N.Leaf(own, "id", ["x"]), "bag").remove_instances("x > 3")
+    assert sorted(r.x for r in kept.child.df.collect()) == [8.0, 9.0]
+    # levels below follow
+    low = N.Bag(spark.createDataFrame([(7, 1, 1.0), (8, 1, 9.0)], "id int, bag int, x double"), "id", N.Leaf(spark.createDataFrame([(7, 1), (8, 2), (8, 3)], "id int, z int"), "z", ["z"]), "id")
+    assert sorted(r.z for r in N.Bag(parent, "bag", low, "bag").remove_instances("x > 3").child.child.df.collect()) == [2, 3]
