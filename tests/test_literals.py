@@ -211,3 +211,14 @@ def test_removed_instances_need_no_join(bags, spark):
     # levels below follow
     low = N.Bag(spark.createDataFrame([(7, 1, 1.0), (8, 1, 9.0)], "id int, bag int, x double"), "id", N.Leaf(spark.createDataFrame([(7, 1), (8, 2), (8, 3)], "id int, z int"), "z", ["z"]), "id")
     assert sorted(r.z for r in N.Bag(parent, "bag", low, "bag").remove_instances("x > 3").child.child.df.collect()) == [2, 3]
+
+
+def test_subset_of_bags_joins_each_level_once(bags, spark):
+    parent, inst = bags
+    bag = N.Bag(parent, "bag", N.Leaf(inst, "x", ["x", "y"]), "bag")
+    part = bag.subset(parent.where("bag > 2").select("bag"))
+    plan = part.child.df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 2  # bags with the keys, instances with the bags
+    assert sorted(r.x for r in part.child.df.collect()) == sorted(r.x for r in inst.collect() if r.bag > 2)
+    pair = N.Product(parent, "bag", {"a": bag, "b": N.Leaf(parent, "bag", ["bag"])}).subset(parent.where("bag > 2").select("bag"))
+    assert [c.df.count() for c in pair.parts.values()] == [parent.where("bag > 2").count()] * 2
