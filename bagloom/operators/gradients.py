@@ -133,10 +133,12 @@ def postimpute_ngram_back(strings: DataFrame, key: str, text: str, deltas: Seque
     return some.unionByName(none.select(F.lit(None).cast("bigint").alias("code"), *deltas))
 
 
-def numeric(f: Callable[[DataFrame], DataFrame], df: DataFrame, x: str, where: Column, key: str, value: str, eps: float = 1e-3) -> DataFrame:
-    """(key, slope): central differences of f's `value` as x moves by eps in the rows that `where` picks.
+def numeric(f: Callable[[DataFrame, list[str]], DataFrame], df: DataFrame, x: str, where: Column, key: str, value: str, eps: float = 1e-3) -> DataFrame:
+    """(key, slope): central differences of f's value as x moves by eps in the rows that `where` picks.
 
-    A check of closed forms: pick one instance a bag, and the slope is that instance's gradient.
+    f(df, cols) has key and, of each of cols, a column `value` with {} for that name; it is called once, with x moved up
+    and down as two columns.  A check of closed forms: pick one instance a bag, and the slope is that instance's gradient.
     """
-    moved = lambda by: f(df.withColumn(x, F.when(where, F.col(x) + by).otherwise(F.col(x)))).select(key, F.col(value).alias("__up" if by > 0 else "__down"))
-    return moved(eps).join(moved(-eps), key).select(key, ((F.col("__up") - F.col("__down")) / (2 * eps)).alias("slope"))
+    moved = df.withColumns({c: F.when(where, F.col(x) + by).otherwise(F.col(x)) for c, by in (("__up", eps), ("__down", -eps))})
+    got = f(moved, ["__up", "__down"])
+    return got.select(key, ((F.col(value.format("__up")) - F.col(value.format("__down"))) / (2 * eps)).alias("slope"))

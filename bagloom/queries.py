@@ -334,8 +334,8 @@ def numeric_check(s, d):
     firsts = inst.groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"))
     marked = inst.join(firsts, "o_custkey").withColumn("picked", F.col("o_orderkey") == F.col("first"))
     how = A.LSE(rho=(activations.softplus_inverse(0.5),))
-    f = lambda df: A.aggregate(bags_, df, "o_custkey", ["x"], how)
-    slope = gradients.numeric(f, marked, "x", F.col("picked"), "o_custkey", "lse_x")
+    f = lambda df, cols: A.aggregate(bags_, df, "o_custkey", cols, how)
+    slope = gradients.numeric(f, marked, "x", F.col("picked"), "o_custkey", "lse_{}")
     return _round(slope.join(firsts, "o_custkey", "left_semi"), 3)
 
 

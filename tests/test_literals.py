@@ -222,3 +222,17 @@ def test_subset_of_bags_joins_each_level_once(bags, spark):
     assert sorted(r.x for r in part.child.df.collect()) == sorted(r.x for r in inst.collect() if r.bag > 2)
     pair = N.Product(parent, "bag", {"a": bag, "b": N.Leaf(parent, "bag", ["bag"])}).subset(parent.where("bag > 2").select("bag"))
     assert [c.df.count() for c in pair.parts.values()] == [parent.where("bag > 2").count()] * 2
+
+
+def test_numeric_slopes_take_one_aggregation(spark):
+    from bagloom.functions.activations import softplus_inverse
+    from bagloom.operators import gradients as G
+
+    inst = spark.createDataFrame([(1, 1, 2.0), (1, 2, 3.0), (2, 1, 700.0), (2, 2, -900.0), (3, 1, 5.0)], "bag int, i int, x double")
+    bags_, how, calls = spark.createDataFrame([(1,), (2,), (3,), (4,)], "bag int"), A.LSE(rho=(softplus_inverse(0.5),)), []
+    f = lambda df, cols: calls.append(cols) or A.aggregate(bags_, df, "bag", cols, how)
+    got = rows(G.numeric(f, inst, "x", F.col("i") == 1, "bag", "lse_{}"))
+    assert {k: v[0] for k, v in got.items()} == pytest.approx({1: 1 / (1 + math.exp(0.5)), 2: 1.0, 3: 1.0, 4: 0.0}, abs=1e-6)
+    assert len(calls) == 1
+    got = rows(G.numeric(lambda df, cols: A.aggregate(bags_, df, "bag", cols, A.Max()), inst, "x", F.col("x").isNull(), "bag", "max_{}"))
+    assert set(got.values()) == {(0.0,)}
